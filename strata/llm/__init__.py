@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES = {
     "bpe": "op8_byte_bpe",
     "packing": "op9_best_fit_packing",
+    "toxicity": "op10_toxicity",
 }
 
 
