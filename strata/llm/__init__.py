@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: module -> its query
 _QUERIES = {
     "bpe": "op8_byte_bpe",
+    "lz_fingerprint": "op3_lz_fingerprint",
+    "language": "op6_language_id",
     "packing": "op9_best_fit_packing",
     "toxicity": "op10_toxicity",
 }
