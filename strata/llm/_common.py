@@ -118,3 +118,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bits of a bitmap filter: 8 MB, whatever the input. More values only make it let more through.
+FILTER_BITS = 26
+
+
+def bitmap_filter(values: DataFrame, column: str) -> np.ndarray:
+    """A fixed-size bitmap with the low bits of every value of a long column set; no value that is in it is refused."""
+    # bucket and bit numbers count from one
+    place = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    rows = values.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in rows.collect():  # at most 2048 rows of 4 KB
+        part = np.frombuffer(bytes(r.bits), np.uint8)
+        out[(r.k - 1) * 4096 : (r.k - 1) * 4096 + len(part)] |= part
+    return out
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    p = values.astype(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+    return (bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
