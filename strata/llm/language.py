@@ -9,7 +9,8 @@ The automata are unrolled into transition tables in which a failed match leads o
 so that parsing is one table look-up a character and all blocks of a batch step together in numpy.  Documents are
 parsed whole, in blocks of ``BLOCK`` characters that each start a phrase.
 
-Learning is from at most ``SAMPLE_TEXTS`` different texts of a language, those with the smallest hashes, and at most
+Learning is from at most ``SAMPLE_TEXTS`` different texts of a language, those with the smallest hashes in
+``BUCKETS`` buckets, and at most
 ``SAMPLE_CHARS`` normalised characters of them (fewer if there are so many languages that the tables would pass
 ``TABLE_CHARS`` together).  Normalised: lower case, every run of non-letters one space.
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from strata.llm._common import in_training, map_text, table
 
 SAMPLE_TEXTS = 96
+BUCKETS = 32
 SAMPLE_CHARS = 1 << 15
 TABLE_CHARS = 1 << 18
 CLASSES = 96
@@ -171,7 +173,9 @@ def fit(documents: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: in
     src = src.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & in_training())
     # different texts, without moving any text: copies share a hash
     different = src.select("lang", F.xxhash64("text").alias("h"), "doc_id").groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
-    chosen = different.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("_rank") <= sample_texts).select("lang", "doc_id", "h")
+    # the smallest hashes of each of many buckets, so that no task sees all of a frequent language
+    each = Window.partitionBy("lang", F.pmod("h", F.lit(BUCKETS))).orderBy("h", "doc_id")
+    chosen = different.withColumn("_rank", F.row_number().over(each)).where(F.col("_rank") <= max(1, sample_texts // BUCKETS)).select("lang", "doc_id", "h")
     picked = [(r.doc_id, r.lang, r.h) for r in chosen.collect()]  # at most sample_texts a language
     if not picked:
         return LanguageModel(())
