@@ -14,6 +14,7 @@ _QUERIES = {
     "language": "op6_language_id",
     "ngram_join": "op7_ngram_jaccard",
     "packing": "op9_best_fit_packing",
+    "secrets": "op2_randomness_battery",
     "toxicity": "op10_toxicity",
 }
 
