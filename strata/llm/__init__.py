@@ -12,6 +12,7 @@ _QUERIES = {
     "bpe": "op8_byte_bpe",
     "lz_fingerprint": "op3_lz_fingerprint",
     "language": "op6_language_id",
+    "licenses": "op5_license_index",
     "ngram_join": "op7_ngram_jaccard",
     "packing": "op9_best_fit_packing",
     "secrets": "op2_randomness_battery",
