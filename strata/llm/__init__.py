@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: module -> its query
 _QUERIES = {
     "line_dedup": "op1_line_dedup",
+    "media": "op4_media_chunks",
     "bpe": "op8_byte_bpe",
     "lz_fingerprint": "op3_lz_fingerprint",
     "language": "op6_language_id",

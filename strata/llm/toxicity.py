@@ -27,8 +27,9 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm._common import in_training, map_text, table
@@ -261,6 +262,18 @@ def score(documents: DataFrame, model: ToxicityModel, text: str = "text", key: s
     return map_text(src, "text", run, "key long, score double, predicted int, n_passages int, passages array<array<int>>").withColumnRenamed("key", key)
 
 
+def probability(documents: DataFrame, model: ToxicityModel, text: str = "text") -> Column:
+    """The score as a column, for filters that keep all other columns where they are."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        m = shared.value
+        return pd.Series([m.probability(m.evidence(m.segments(words_of(t)))) for t in texts], dtype="float64")
+
+    return of(F.col(text).cast("string"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = fit(documents, table(spark, sf_dir, "labels"))
