@@ -1,4 +1,4 @@
-"""The query catalogue: name -> (Spark callable, DuckDB SQL)."""
+"""Names of all queries of the engine, with their SQL where they have any."""
 
 from __future__ import annotations
 
@@ -6,15 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.operators import reads
-from strata.views import kv_log
+from strata.plans.queries import QUERIES, SQL
 
-Query = Callable[[SparkSession, str], DataFrame]
 
-
-def queries() -> dict[str, Query]:
-    return {"latest_live": lambda s, d: reads.latest_live(kv_log(s, d)).select("user_key", "seq", "value")}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
