@@ -15,6 +15,8 @@ def little_endian(number: Column, octets: int) -> Column:
 
 def read_little_endian(data: Column, start: int, octets: int) -> Column:
     """The long that stands at a place (from 1) of a binary column."""
+    if octets > 4:  # by halves: the value may need all 64 bits
+        return F.shiftleft(read_little_endian(data, start + 4, octets - 4), 32).bitwiseOR(read_little_endian(data, start, 4))
     digits = [F.hex(F.substring(data, start + i, 1)) for i in reversed(range(octets))]
     return F.conv(F.concat(*digits), 16, 10).cast("long")
 
