@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -85,21 +86,44 @@ _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.ones(max(n, 1), np.uint64)
-    if n > 1:
-        out[1:] = np.uint64(base & (2**64 - 1))
-        np.multiply.accumulate(out, out=out)
-    return out
+    """base**0 .. base**(n-1) modulo 2**64; a worker keeps them for its next batches."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        have = np.ones(max(n, SLICE_BYTES + 1), np.uint64)
+        have[1:] = np.uint64(base & (2**64 - 1))
+        np.multiply.accumulate(have, out=have)
+        if len(have) <= 2 * SLICE_BYTES:
+            _POWERS[base] = have
+    return have[:n]
+
 
+def span_sums(raw: np.ndarray) -> np.ndarray:
+    """Prefix sums from which hashes of spans are taken."""
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * powers(_BASE, len(raw)), out=sums[1:])
+    return sums
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
     """64-bit hashes of the byte spans [start, end): equal bytes have equal hashes wherever they stand."""
-    n = len(raw)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * powers(_BASE, n), out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * powers(_INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    sums = span_sums(raw) if sums is None else sums
+    return mix64((sums[ends] - sums[starts]) * powers(_INVERSE, len(raw) + 1)[starts] + (ends - starts).astype(np.uint64))
+
+
+def run_hashes(places: np.ndarray, length: int, sums: np.ndarray) -> np.ndarray:
+    """32-bit hashes of ``length`` characters from each place where a character begins, but the last ones."""
+    return (long_run_hashes(places, length, sums) >> np.uint64(32)).astype(np.uint32)
+
+
+def long_run_hashes(places: np.ndarray, length: int, sums: np.ndarray) -> np.ndarray:
+    """The same in 64 bits."""
+    at = sums[places]
+    n = max(0, len(places) - length)
+    return (at[length:] - at[:n]) * powers(_INVERSE, len(sums))[places[:n]]
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -144,3 +168,53 @@ def bitmap_filter(values: DataFrame, column: str) -> np.ndarray:
 def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     p = values.astype(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
     return (bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def shared_only(rows: DataFrame, parts: int, key: str = "k", member: str = "sk") -> DataFrame:
+    """The different rows of (long) columns whose key has several members. One shuffle, one sort, no group is held."""
+    columns = rows.columns
+    ki, mi = columns.index(key), columns.index(member)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last row seen
+        emitted = False  # whether it, or one like it, has been given out
+
+        for batch in batches:
+            if held is not None:
+                batch = pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(held.columns, batch.columns, strict=True)], schema=batch.schema)
+            n = batch.num_rows
+            if not n:
+                continue
+            k, m = batch.column(ki).to_numpy(), batch.column(mi).to_numpy()
+            fresh = np.ones(n, bool)  # not the same row again
+            fresh[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
+            if held is not None:
+                fresh[0] = not emitted
+            several = np.zeros(n, bool)
+            other = (k[1:] == k[:-1]) & (m[1:] != m[:-1])
+            first = np.concatenate(([True], k[1:] != k[:-1]))
+            group = np.cumsum(first) - 1
+            mixed = np.zeros(int(group[-1]) + 1, bool)
+            mixed[group[1:][other]] = True
+            if held is not None and emitted:
+                mixed[0] = True
+            several = mixed[group]
+            keep = fresh & several
+            # the last row of the batch goes on with the next one
+            last_emitted = bool(several[-1])
+            tail = np.flatnonzero((k == k[-1]) & (m == m[-1]))[:1]
+            if not last_emitted:
+                keep[tail] = False
+            held, emitted = batch.slice(n - 1, 1), last_emitted
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    sorted_rows = rows.repartition(parts, key).sortWithinPartitions(key, member)
+    return sorted_rows.mapInArrow(run, rows.schema)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a Parquet table in the shared folder, for rows that columns make much smaller."""
+    path = f"{checkpoint_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,11 +10,11 @@ sets link when their Jaccard similarity is at least ``NUMERATOR / DENOMINATOR``,
   last, so their lists are short.  Light sets that a heavy one could match are listed too.
 * The boundary is the one with the least cost: subsets written, against postings written and scanned.
 
-Long lists are not paired off.  Each open list first proposes its pivot to all members; what links is merged into
-components, and lists whose members are then of one component are closed.  After ``PIVOTS`` such rounds the lists
+Long lists are not paired off.  Each open list first proposes ``PIVOTS`` members to all; what links is merged into
+components, and lists whose members are then of one component are closed.  After ``ROUNDS`` such rounds the lists
 still open propose every pair across components (by length, position and role), so no link that could join two
-components is missed.  All proposals are verified on whole sets.  Only fixed-size bitmaps and the ``HOT`` most
-frequent shingles are ever held in one place; they steer the order and the reading, not the result.
+components is missed.  All proposals are verified on whole sets.  Only fixed-size bitmaps and at most ``HOT`` frequent
+shingles (counted where ``AGAIN`` sets of ``UNIT`` shingles in a task have them) are ever held in one place; they steer the order and the reading, not the result.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing; under five
 words the whole sequence is the one shingle; repeated rows of a ``doc_id`` count as one document with several
@@ -29,19 +29,25 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm._common import bitmap_filter, buffer_of, checkpointed, in_bitmap, mix64, shuffle_partitions, slices, span_hashes, table
+from strata.llm._common import bitmap_filter, buffer_of, checkpointed, in_bitmap, mix64, shared_only, shuffle_partitions, slices, span_hashes, table
 from strata.llm._graph import components
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5
-HOT = 1 << 16
-HOT_COUNT = 24
+HOT = 1 << 20
+UNIT = 6_000_000
+AGAIN = 3
 LARGEST_LIGHT = 12
 LIST_COST = 3.0
-PIVOTS = 2
+SKETCH_LEAST = 512
+SMALL = SKETCH_LEAST // 64
+PIVOTS = 6
+ROUNDS = 1
+#: Lists whose pairs are under so many times their members are paired off without further rounds.
+FEW = 6
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -117,6 +123,12 @@ def set_key(s: np.ndarray) -> int:
     return int(mix64(np.array([mix64(s).sum(dtype=np.uint64) ^ np.uint64(len(s))]))[0].astype(np.int64))
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    wide = max(SKETCH_LEAST, 1 << (2 * len(s) - 1).bit_length())
+    odd = (np.bincount((s & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _sets(df: DataFrame, fn, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -128,21 +140,38 @@ def _sets(df: DataFrame, fn, schema: str) -> DataFrame:
 
 
 def _summaries(src: DataFrame) -> DataFrame:
-    """For each document (0, doc_id, size, key of its set); for shingles met again nearby (1, shingle, count, 0)."""
-
-    def summary(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-        kind, one = [0] * len(sets), ids.to_pylist()
-        size, key = [len(s) for s in sets], [set_key(s) if len(s) else None for s in sets]
-        everything = np.sort(np.concatenate([s for s in {k: s for k, s in zip(key, sets, strict=True)}.values()]))
-        if len(everything):
-            cuts = np.flatnonzero(np.concatenate(([True], everything[1:] != everything[:-1])))
-            counts = np.diff(np.append(cuts, len(everything)))
-            often = counts >= 2
-            again, n = everything[cuts[often]].view(np.int64).tolist(), counts[often].tolist()
-            kind, one, size, key = kind + [1] * len(again), one + again, size + n, key + [0] * len(again)
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(one, pa.int64()), pa.array(size, pa.int64()), pa.array(key, pa.int64())], names=["kind", "one", "n", "sk"])
+    """For each document (0, doc_id, size, key and sketch of its set); for shingles met again nearby (1, shingle, count)."""
+    schema = "kind int, one long, n long, sk long, sketch array<long>"
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+
+    def again(kept: list[np.ndarray]) -> pa.RecordBatch | None:
+        everything = np.sort(np.concatenate(kept))
+        cuts = np.flatnonzero(np.concatenate(([True], everything[1:] != everything[:-1])))
+        counts = np.diff(np.append(cuts, len(everything)))
+        often = counts >= AGAIN
+        n = int(often.sum())
+        columns = ([1] * n, everything[cuts[often]].view(np.int64), counts[often], [None] * n, [None] * n)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "one", "n", "sk", "sketch"])
 
-    return _sets(src, summary, "kind int, one long, n long, sk long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, np.ndarray] = {}
+        held = 0
+        for batch in slices(batches, "text"):
+            sets = shingle_sets(batch.column(1))
+            key = [set_key(s) if len(s) else None for s in sets]
+            columns = ([0] * len(sets), batch.column(0), [len(s) for s in sets], key, [sketch(s) if len(s) else None for s in sets])
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "one", "n", "sk", "sketch"])
+            for k, s in zip(key, sets, strict=True):
+                if len(s) and k not in kept:
+                    kept[k] = s
+                    held += len(s)
+            if held >= UNIT:
+                yield again(list(kept.values()))
+                kept, held = {}, 0
+        if kept:
+            yield again(list(kept.values()))
+
+    return src.mapInArrow(run, schema)
 
 
 def cheapest_boundary(sizes: dict[int, int], largest: int = LARGEST_LIGHT) -> int:
@@ -201,9 +230,31 @@ def _proposals(src: DataFrame, hot: np.ndarray, boundary: int) -> DataFrame:
     return _sets(src, emit, "light boolean, k long, sk long, n int, pos int")
 
 
-def _verified(pairs: DataFrame, src: DataFrame) -> DataFrame:
+def _small(sketch_: Column) -> Column:
+    """The sketch folded to ``SMALL`` longs."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(SMALL - 1)), lambda i: F.aggregate(F.filter(sketch_, lambda _, j: j % SMALL == i), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x)))
+    return words
+
+
+def _near(n: str, m: str, a: str, b: str) -> Column:
+    """False for sizes and small sketches of which the sets cannot link."""
+    fits = (NUMERATOR * F.col(n) <= DENOMINATOR * F.col(m)) & (NUMERATOR * F.col(m) <= DENOMINATOR * F.col(n))
+    apart = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SMALL)), F.lit(0))
+    total = F.col(n) + F.col(m)
+    return fits & ((NUMERATOR + DENOMINATOR) * (total - apart) >= 2 * NUMERATOR * total)
+
+
+def _verified(pairs: DataFrame, src: DataFrame, classes: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of set keys those whose sets link. Reads the texts again for the sets that are asked for."""
-    pairs = checkpointed(pairs.distinct())
+    side = lambda x: classes.select(F.col("sk").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    half = lambda x: (F.size(x) / 2).cast("int")
+    folded = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda y, z: y.bitwiseXOR(z))
+    near = near.withColumn("sa", F.when(F.size("sa") > F.size("sb"), folded("sa")).otherwise(F.col("sa"))).withColumn("sb", F.when(F.size("sb") > F.size("sa"), folded("sb")).otherwise(F.col("sb")))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    total = F.col("na") + F.col("nb")
+    # overlap <= (total - apart) / 2
+    pairs = checkpointed(near.where((NUMERATOR + DENOMINATOR) * (total - apart) >= 2 * NUMERATOR * total).select("a", "b"))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sk"))
     bits = src.sparkSession.sparkContext.broadcast(bitmap_filter(asked, "sk"))
 
@@ -227,16 +278,16 @@ def link(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     src = documents.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     seen = checkpointed(_summaries(src))
     rows = seen.where("kind = 0").select(F.col("one").alias("doc_id"), "n", "sk")
-    counts = seen.where("kind = 1").groupBy("one").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_COUNT)
-    top = counts.orderBy(F.desc("n"), "one").limit(HOT).collect()
-    hot = np.array([r.one for r in reversed(top)], np.int64).view(np.uint64)
+    counts = checkpointed(seen.where("kind = 1").groupBy("one").agg(F.sum("n").alias("n")))
+    levels = {int(r.level): int(r.m) for r in counts.groupBy(F.floor(8 * F.log2("n")).alias("level")).agg(F.count("*").alias("m")).collect()}
+    least = min((x for x in levels if sum(m for y, m in levels.items() if y >= x) <= HOT), default=1 << 20)
+    top = counts.where(F.floor(8 * F.log2("n")) >= least).toArrow()  # at most HOT rows
+    often = np.lexsort((top["one"].to_numpy(), top["n"].to_numpy()))
+    hot = top["one"].to_numpy()[often].view(np.uint64)
     sizes = {int(r.n): int(r.m) for r in rows.where((F.col("n") > 0) & (F.col("n") <= LARGEST_LIGHT + 4)).groupBy("n").agg(F.countDistinct("sk").alias("m")).collect()}
     parts = shuffle_partitions(spark)
-    proposals = _proposals(src.where(F.col("doc_id").isNotNull()), hot, cheapest_boundary(sizes)).repartition(parts, "k")
-    # lists with one set only are of no use; what is left is small beside the input
-    by = Window.partitionBy("light", "k")
-    lists = proposals.withColumn("_lo", F.min("sk").over(by)).withColumn("_hi", F.max("sk").over(by)).where("_lo <> _hi").drop("_lo", "_hi")
-    lists = checkpointed(lists.distinct())
+    proposals = _proposals(src.where(F.col("doc_id").isNotNull()), hot, cheapest_boundary(sizes))
+    lists = checkpointed(shared_only(proposals, parts))  # lists with one set only are of no use
     light, heavy = lists.where("light"), lists.where("not light").select("k", "sk", "n", "pos")
     # light: members of one size meet a member of the other size, or, alone, the least of their own
     ends = light.groupBy("k", "pos").agg(F.min(F.struct("n", "sk")).alias("lo"), F.max(F.struct("n", "sk")).alias("hi"))
@@ -244,33 +295,39 @@ def link(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     other = F.when(F.col("lo.n") == F.col("hi.n"), F.col("lo.sk")).when(F.col("n") == F.col("lo.n"), F.col("hi.sk")).otherwise(F.col("lo.sk"))
     pairs = tied.where((F.col("lo.n") != F.col("hi.n")) | (F.col("pos") >= 2 * F.col("n"))).select("sk", other.alias("other"))
     pairs = pairs.where("sk <> other").select(F.least("sk", "other").alias("a"), F.greatest("sk", "other").alias("b"))
-    classes = checkpointed(rows.where(F.col("sk").isNotNull() & F.col("doc_id").isNotNull()).groupBy("sk").agg(F.min("doc_id").alias("rep")))
+    known = seen.where("kind = 0 and sk is not null and one is not null")
+    classes = checkpointed(known.groupBy("sk").agg(F.min("one").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     # documents of several texts tie the classes of these
-    several = rows.where(F.col("doc_id").isNotNull() & F.col("sk").isNotNull()).join(classes, "sk").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    several = rows.where(F.col("doc_id").isNotNull() & F.col("sk").isNotNull()).join(classes.select("sk", "rep"), "sk").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links, label = None, None
     fits = (NUMERATOR * F.col("n") <= DENOMINATOR * F.col("m")) & (NUMERATOR * F.col("m") <= DENOMINATOR * F.col("n"))
     open_lists = heavy.withColumn("c", F.col("sk"))
-    for turn in range(PIVOTS):
+    for turn in range(ROUNDS):
         each = Window.partitionBy("k")
-        pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "sk").alias("h"), F.col("sk").alias("sk"), F.col("n").alias("m"), F.col("c").alias("c"))).over(each)
-        met = open_lists.withColumn("p", pivot).select("sk", "n", "c", F.col("p.sk").alias("other"), F.col("p.m").alias("m"), F.col("p.c").alias("d"))
-        met = met.where((F.col("c") != F.col("d")) & fits).select(F.least("sk", "other").alias("a"), F.greatest("sk", "other").alias("b"))
-        found = _verified(met if turn else met.unionByName(pairs), src)
+        ranked = open_lists.withColumn("r", F.row_number().over(each.orderBy(F.xxhash64(F.lit(turn), "sk"), "sk")))
+        pivots = ranked.where(F.col("r") <= PIVOTS).select("k", F.col("sk").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("r").alias("q"))
+        met = ranked.join(pivots, "k").where((F.col("r") > F.col("q")) & (F.col("c") != F.col("d")) & fits).select(F.least("sk", "other").alias("a"), F.greatest("sk", "other").alias("b"))
+        found = _verified(met if turn else met.unionByName(pairs), src, classes)
         links = found if links is None else links.unionByName(found)
         label = checkpointed(components(links))
         open_lists = heavy.join(label.select(F.col("node").alias("sk"), "root"), "sk", "left").withColumn("c", F.coalesce("root", "sk")).drop("root")
         open_lists = open_lists.withColumn("_lo", F.min("c").over(each)).withColumn("_hi", F.max("c").over(each)).where("_lo <> _hi").drop("_lo", "_hi")
         open_lists = checkpointed(open_lists)
+        size = open_lists.groupBy("k").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
+        if (size[1] or 0) <= FEW * (size[0] or 0):
+            break
+    # a small sketch refuses most pairs of a long list before they are written
+    open_lists = checkpointed(open_lists.join(classes.select("sk", _small(F.col("sketch")).alias("s")), "sk"))
     left = open_lists.where(F.col("pos") < F.col("n") - F.ceil(2 * NUMERATOR * F.col("n") / (NUMERATOR + DENOMINATOR)) + 1)
-    right = open_lists.select("k", F.col("sk").alias("sk2"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("c").alias("d"))
+    right = open_lists.select("k", F.col("sk").alias("sk2"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("c").alias("d"), F.col("s").alias("s2"))
     room = 1 + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2")) - 1
-    across = left.join(right, "k").where((F.col("c") != F.col("d")) & ((F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("sk") < F.col("sk2"))) & fits & ((NUMERATOR + DENOMINATOR) * room >= NUMERATOR * (F.col("n") + F.col("m"))))
-    found = _verified(across.select(F.least("sk", "sk2").alias("a"), F.greatest("sk", "sk2").alias("b")), src)
+    across = left.join(right, "k").where((F.col("c") != F.col("d")) & ((F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("sk") < F.col("sk2"))) & _near("n", "m", "s", "s2") & ((NUMERATOR + DENOMINATOR) * room >= NUMERATOR * (F.col("n") + F.col("m"))))
+    found = _verified(across.select(F.least("sk", "sk2").alias("a"), F.greatest("sk", "sk2").alias("b")), src, classes)
     links = links.unionByName(found)
     named = links.join(classes.select(F.col("sk").alias("a"), F.col("rep").alias("ra")), "a").join(classes.select(F.col("sk").alias("b"), F.col("rep").alias("rb")), "b")
     root = checkpointed(components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(several)))
     # copies point at their class first, which spreads a large group of them over the tasks
-    out = rows.join(classes, "sk", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
+    out = rows.join(classes.select("sk", "rep"), "sk", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     out = out.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left")
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
