@@ -96,3 +96,20 @@ def request_line(line: Column) -> tuple[Column, Column, Column, Column]:
 def header(headers: Column, name: str) -> Column:
     """The last value of a header in an array of (name, value); names compare without case."""
     return F.try_element_at(F.transform(F.filter(headers, lambda h: F.lower(h["name"]) == name.lower()), lambda h: h["value"]), F.lit(-1))
+
+
+def decode_pairs(payload: Column) -> Column:
+    """Array of (key, value) of a scan payload: their count in four bytes, then length and bytes of each, in turn."""
+    n = read_little_endian(payload, 1, 4)
+    start = F.struct(F.lit(5).alias("at"), F.array().cast("array<struct<key:string,value:string>>").alias("out"))
+
+    def field(at: Column) -> Column:
+        digits = [F.hex(F.substring(payload, at + i, F.lit(1))) for i in (3, 2, 1, 0)]
+        size = F.conv(F.concat(*digits), 16, 10).cast("int")
+        return F.struct(F.substring(payload, at + 4, size).cast("string").alias("s"), (at + 4 + size).alias("next"))
+
+    def step(a: Column, _: Column) -> Column:
+        both = F.transform(F.transform(F.array(field(a["at"])), lambda k: F.struct(k.alias("k"), field(k["next"]).alias("v"))), lambda p: F.struct(p["v"]["next"].alias("at"), F.concat(a["out"], F.array(F.struct(p["k"]["s"].alias("key"), p["v"]["s"].alias("value")))).alias("out")))
+        return both[0]
+
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(1))), start, step, lambda a: a["out"])).otherwise(start["out"])
