@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one call of a batch function gets at most (one row may be longer).
 SLICE_BYTES = 4 << 20
+#: The same where numpy holds some tens of bytes for each byte of text.
+SMALL_SLICE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,7 +95,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; a worker keeps them for its next batches."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.ones(max(n, SLICE_BYTES + 1), np.uint64)
+        have = np.ones(max(n, SMALL_SLICE + 1), np.uint64)
         have[1:] = np.uint64(base & (2**64 - 1))
         np.multiply.accumulate(have, out=have)
         if len(have) <= 2 * SLICE_BYTES:

@@ -89,9 +89,9 @@ def _strings(values) -> Column:
 
 
 def inverse_frequencies(words: DataFrame, vocabulary: list[str]) -> dict[str, float]:
-    """ln((documents + 1) / (documents with the word + 1)) over all rows of a DataFrame with ``_words``."""
+    """ln((documents + 1) / (documents with the word + 1)) over all rows of a DataFrame with the words of its rows."""
     total = F.lit(None).cast("string")
-    found = words.select(F.explode(F.concat(F.array(total), F.array_intersect("_words", _strings(vocabulary)))).alias("w"))
+    found = words.select(F.explode(F.concat(F.array(total), F.array_intersect("__license_words", _strings(vocabulary)))).alias("w"))
     counts = {r.w: r.n for r in found.groupBy("w").agg(F.count("*").alias("n")).collect()}  # one row a template word
     n = counts.get(None, 0)
     return {w: math.log((n + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
@@ -101,8 +101,8 @@ def scan(df: DataFrame, text: str = "text", known: list[Template] | None = None,
     """Add n_words, score, labels (array) and ``places`` (array of start, length, label, base) to every row."""
     known = known or templates()
     vocabulary = sorted({w for t in known for w in t.words})
-    df = df.withColumn("_words", words_of(text))
-    idf = inverse_frequencies(df.select("_words"), vocabulary)
+    df = df.withColumn("__license_words", words_of(text))
+    idf = inverse_frequencies(df.select("__license_words"), vocabulary)
     entries, anchors = [], set()
     for t in known:
         ranked = sorted(range(len(t.words)), key=lambda i: (-idf[t.words[i]], t.words[i], i))[:rare]
@@ -111,21 +111,21 @@ def scan(df: DataFrame, text: str = "text", known: list[Template] | None = None,
         others = [(i, t.words[i]) for i in sorted(ranked[1:])]
         entries.append((t, anchor, others, sum(idf[t.words[i]] for i in ranked)))
     lookup = _strings(sorted(anchors))
-    numbered = F.transform("_words", lambda w, i: F.struct(i.cast("int").alias("i"), w.alias("w")))
+    numbered = F.transform("__license_words", lambda w, i: F.struct(i.cast("int").alias("i"), w.alias("w")))
     hits = F.filter(numbered, lambda x: F.array_contains(lookup, x["w"]))
     none = F.array().cast("array<struct<i:int,w:string>>")
-    df = df.withColumn("_hits", F.when(F.arrays_overlap("_words", lookup), hits).otherwise(none))
+    df = df.withColumn("__license_hits", F.when(F.arrays_overlap("__license_words", lookup), hits).otherwise(none))
 
     def starts(t: Template, anchor: int, others: list[tuple[int, str]]) -> Column:
         """Starts of the template in the row: postings of its anchor, intersected and verified."""
-        at = F.transform(F.filter("_hits", lambda x: x["w"] == t.words[anchor]), lambda x: x["i"] - anchor)
+        at = F.transform(F.filter("__license_hits", lambda x: x["w"] == t.words[anchor]), lambda x: x["i"] - anchor)
 
         def stands(start: Column) -> Column:
-            ok = (start >= 0) & (start + len(t.words) <= F.size("_words"))
+            ok = (start >= 0) & (start + len(t.words) <= F.size("__license_words"))
             for i, w in others:
-                ok = ok & (F.get("_words", start + i) == w)
+                ok = ok & (F.get("__license_words", start + i) == w)
             for i, phrase in t.keys:
-                ok = ok & (F.slice("_words", F.greatest(start, F.lit(0)) + i + 1, len(phrase)) == _strings(phrase))
+                ok = ok & (F.slice("__license_words", F.greatest(start, F.lit(0)) + i + 1, len(phrase)) == _strings(phrase))
             return F.coalesce(ok, F.lit(False))
 
         return F.transform(F.filter(at, stands), lambda s: F.struct(s.cast("int").alias("start"), F.lit(len(t.words)).alias("length"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.lit(weight).alias("weight")))
@@ -134,12 +134,12 @@ def scan(df: DataFrame, text: str = "text", known: list[Template] | None = None,
     for t, anchor, others, weight in entries:
         found.append(starts(t, anchor, others))
     empty = F.array().cast("array<struct<start:int,length:int,label:string,base:boolean,weight:double>>")
-    places = F.when(F.size("_hits") > 0, F.array_sort(F.flatten(F.array(*found)))).otherwise(empty)
-    df = df.withColumn("places", places).withColumn("n_words", F.size("_words").cast("long"))
+    places = F.when(F.size("__license_hits") > 0, F.array_sort(F.flatten(F.array(*found)))).otherwise(empty)
+    df = df.withColumn("places", places).withColumn("n_words", F.size("__license_words").cast("long"))
     # each label counts once, with its heaviest template
     weight = F.aggregate(F.array_distinct(F.transform("places", lambda p: p["label"])), F.lit(0.0), lambda acc, name: acc + F.array_max(F.transform(F.filter("places", lambda p: p["label"] == name), lambda p: p["weight"])))
     labels = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
-    return df.withColumn("labels", labels).withColumn("score", 1 - 1 / (1 + weight)).drop("_words", "_hits")
+    return df.withColumn("labels", labels).withColumn("score", 1 - 1 / (1 + weight)).drop("__license_words", "__license_hits")
 
 
 def op5_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,35 +3,42 @@
 Lines are what stands between line feeds.  Lines of at least ``LEAST`` characters take part; shorter ones (blank
 lines, brackets, headings) always stay.  Equal lines are one line.  A line's set is its distinct runs of ``SHINGLE``
 characters; ``BANDS`` bands of ``ROWS`` minima of independent hashes make lines with Jaccard similarity
-``THRESHOLD`` or more meet with a probability of over 99 %.  Pairs are verified on the exact sets; verified pairs are
+``THRESHOLD`` or more meet with a probability of 99 %.  Pairs are verified on the exact sets; verified pairs are
 united by distributed star contraction, and of every component one line stays, the first by (doc_id, line number).
 
-Buckets are not paired off: each proposes ``PIVOTS`` of its lines to all, what links is merged, and only buckets
-that still hold several components propose their pairs across components.  Texts move once, to take the lines out.
+Buckets are not paired off: each proposes ``PIVOTS`` of its lines to all, what links is merged, and after
+at most ``ROUNDS`` such rounds buckets that still hold several components propose their pairs across components.  A proposal must pass a parity sketch of
+``SKETCH`` bits first: the bits in which two sketches differ are at most the shingles in which the sets do.
 
 Defined cases: a null text stays null and has no lines; an empty text has one empty line, which stays; rows with a
 null ``doc_id`` come last in the order; rows with the same id and text are one document, so they keep the same
-lines; other columns pass through; an empty table gives an empty result.
+lines; other columns pass through (but ones named n_lines, n_long and dropped are replaced); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm._common import bitmap_filter, buffer_of, checkpointed, in_bitmap, mix64, seeds, shuffle_partitions, slices, span_hashes, table
+from strata.llm._common import SMALL_SLICE, bitmap_filter, buffer_of, checkpointed, in_bitmap, long_run_hashes, mix64, run_hashes, seeds, shared_only, shuffle_partitions, slices, span_hashes, span_sums, table, written
 from strata.llm._graph import components
 
 LEAST = 20
 SHINGLE = 8
 THRESHOLD = 0.8
-BANDS = 10
+BANDS = 9
 ROWS = 4
-PIVOTS = 4
+PIVOTS = 3
+ROUNDS = 1
+#: Buckets whose pairs are under so many times their lines are paired off without further rounds.
+FEW = 16
+SKETCH = 2048
+FOLDED = 8
 _FACTORS = (seeds(BANDS * ROWS, 11) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _BAND = seeds(ROWS, 12)
 _SALT = seeds(BANDS, 13)
@@ -60,7 +67,8 @@ class Lines:
         long = self.chars >= LEAST
         for name in ("doc", "start", "end", "number", "first", "chars"):
             setattr(self, name, getattr(self, name)[long])
-        self.key = span_hashes(self.raw, self.start, self.end).view(np.int64)
+        self.sums = span_sums(self.raw)
+        self.key = span_hashes(self.raw, self.start, self.end, self.sums).view(np.int64)
 
     def only(self, chosen: np.ndarray) -> Lines:
         for name in ("doc", "start", "end", "number", "first", "chars", "key"):
@@ -73,13 +81,35 @@ class Lines:
     def text(self, i: int) -> str:
         return self.raw[self.start[i] : self.end[i]].tobytes().decode()
 
-    def bands(self) -> np.ndarray:
-        """One 64-bit key a line and band."""
+    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        """(32-bit hashes of the shingles of all lines, where each line's begin, and the end)."""
         counts = self.chars - SHINGLE + 1
         cuts = np.concatenate(([0], np.cumsum(counts)))
         at = np.arange(cuts[-1]) + np.repeat(self.first - cuts[:-1], counts)
-        ends = np.append(self.places, len(self.raw))
-        hashes = span_hashes(self.raw, ends[at], ends[at + SHINGLE]).astype(np.uint32)
+        return run_hashes(np.append(self.places, len(self.raw)), SHINGLE, self.sums)[at], cuts
+
+    def sketches(self) -> tuple[np.ndarray, np.ndarray]:
+        """(number of distinct shingles, their parity on each bit as rows of 64-bit words) of all lines."""
+        hashes, cuts = self.shingles()
+        owner = np.repeat(np.arange(len(self.key), dtype=np.uint64) << np.uint64(32), np.diff(cuts))
+        tagged = np.sort(owner | hashes)
+        fresh = np.ones(len(tagged), bool)
+        fresh[1:] = tagged[1:] != tagged[:-1]
+        tagged = tagged[fresh]
+        line = (tagged >> np.uint64(32)).astype(np.int64)
+        place = line * SKETCH + ((tagged >> np.uint64(7)) & np.uint64(SKETCH - 1)).astype(np.int64)
+        odd = (np.bincount(place, minlength=len(self.key) * SKETCH) & 1).astype(np.uint8)
+        return np.bincount(line, minlength=len(self.key)), np.packbits(odd).view(np.int64).reshape(len(self.key), SKETCH // 64)
+
+    def sets(self) -> list[np.ndarray]:
+        """Sorted distinct 64-bit hashes of the shingles of each line."""
+        every = long_run_hashes(np.append(self.places, len(self.raw)), SHINGLE, self.sums)
+        return [np.unique(every[i : i + n]) for i, n in zip(self.first.tolist(), (self.chars - SHINGLE + 1).tolist(), strict=True)]
+
+    def bands(self) -> np.ndarray:
+        """One 64-bit key a line and band."""
+        hashes, cuts = self.shingles()
+        counts = np.diff(cuts)
         least = np.empty((BANDS * ROWS, len(counts)), np.uint32)
         for i in range(0, len(counts), _BLOCK):  # blocks that stay in the processor's cache
             j = min(len(counts), i + _BLOCK)
@@ -94,15 +124,17 @@ class Lines:
         return keys.view(np.int64)
 
 
-def similar(a: str, b: str, threshold: float = THRESHOLD) -> bool:
-    x, y = ({t[i : i + SHINGLE] for i in range(len(t) - SHINGLE + 1)} for t in (a, b))
-    common = len(x & y)
+def similar(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> bool:
+    """Whether two sorted sets have the threshold's Jaccard similarity."""
+    both = np.concatenate((x, y))
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
     return common >= threshold * (len(x) + len(y) - common) - 1e-9
 
 
 def _mapped(src: DataFrame, fn, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL_SLICE):
             out = fn(batch, Lines(batch.column(2)))
             if out is not None and out.num_rows:
                 yield out
@@ -122,22 +154,52 @@ def _buckets(_: pa.RecordBatch, lines: Lines) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(lines.bands().ravel()), pa.array(np.tile(lines.key, BANDS))], names=["k", "sk"])
 
 
-def _verified(pairs: DataFrame, src: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of line keys those whose lines are similar; texts of the lines asked for are read again."""
-    pairs = checkpointed(pairs.distinct())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("sk")).distinct()
+def _known(src: DataFrame, asked: DataFrame) -> DataFrame:
+    """(sk, n, s, t): size, sketch and text of the lines that are asked for."""
     bits = src.sparkSession.sparkContext.broadcast(bitmap_filter(asked, "sk"))
 
     def fetch(_: pa.RecordBatch, lines: Lines) -> pa.RecordBatch | None:
         lines = lines.only(in_bitmap(bits.value, lines.key.view(np.uint64))).distinct()
-        return pa.RecordBatch.from_arrays([pa.array(lines.key), pa.array([lines.text(i) for i in range(len(lines.key))], pa.string())], names=["sk", "t"])
+        if not len(lines.key):
+            return None
+        texts = pa.array([lines.text(i) for i in range(len(lines.key))], pa.string())
+        sizes, sketches = lines.sketches()
+        words = pa.ListArray.from_arrays(pa.array(np.arange(len(lines.key) + 1) * (SKETCH // 64), pa.int32()), pa.array(sketches.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(lines.key), pa.array(sizes.astype(np.int32)), words, texts], names=["sk", "n", "s", "t"])
+
+    found = _mapped(src, fetch, "sk long, n int, s array<long>, t string").join(asked.distinct(), "sk", "left_semi")
+    return written(found.dropDuplicates(["sk"]))
+
+
+def _folded(sketch: str) -> Column:
+    """The sketch folded to ``FOLDED`` words."""
+    word = lambda i: functools.reduce(Column.bitwiseXOR, (F.col(sketch)[j] for j in range(i, SKETCH // 64, FOLDED)))
+    return F.array(*(word(i) for i in range(FOLDED)))
+
+
+def _near(n: str, m: str, a: str, b: str, folded: tuple[str, str] | None = None) -> Column:
+    """False for sizes and sketches of which the sets cannot be similar; folded sketches are looked at first."""
+    total = F.col(n) + F.col(m)
+    fits = lambda apart: (1 + THRESHOLD) * (total - apart) >= 2 * THRESHOLD * total - 1e-9
+    out = (F.col(n) >= THRESHOLD * F.col(m) - 1e-9) & (F.col(m) >= THRESHOLD * F.col(n) - 1e-9)
+    if folded:
+        out = out & fits(sum((F.bit_count(F.col(folded[0])[i].bitwiseXOR(F.col(folded[1])[i])) for i in range(FOLDED)), F.lit(0)))
+    return out & fits(F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x))
+
 
-    texts = _mapped(src, fetch, "sk long, t string").join(asked, "sk", "left_semi").groupBy("sk").agg(F.first("t").alias("t"))
-    both = pairs.join(texts.select(F.col("sk").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("sk").alias("b"), F.col("t").alias("tb")), "b")
+def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of line keys those whose lines are similar."""
+    side = lambda x: known.select(F.col("sk").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+    near = pairs.distinct().join(side("b"), "b").join(side("a"), "a").where(_near("na", "nb", "sa", "sb")).select("a", "b")
+    near = checkpointed(near)
+    both = near.join(known.select(F.col("sk").alias("b"), F.col("t").alias("tb")), "b").join(known.select(F.col("sk").alias("a"), F.col("t").alias("ta")), "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ta"):
-            keep = [similar(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        for batch in slices(batches, "ta", 1 << 18):
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            texts = list(dict.fromkeys(a + b))
+            number = dict(zip(texts, Lines(pa.array(texts, pa.string())).sets(), strict=True))  # each text is one line
+            keep = [similar(number[x], number[y]) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return checkpointed(both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"))
@@ -151,22 +213,30 @@ def _several(lists: DataFrame, column: str) -> DataFrame:
 
 def classes(src: DataFrame) -> DataFrame:
     """(sk, root) of the lines that are similar to another one."""
-    buckets = _mapped(src, _buckets, "k long, sk long").repartition(shuffle_partitions(src.sparkSession), "k")
-    buckets = checkpointed(_several(buckets, "sk").distinct())
-    ranked = buckets.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("sk"), "sk")))
-    pivots = ranked.where(F.col("r") <= PIVOTS).select("k", F.col("sk").alias("other"), F.col("r").alias("q"))
-    met = ranked.join(pivots, "k").where("r > q").select(F.least("sk", "other").alias("a"), F.greatest("sk", "other").alias("b"))
-    links = _verified(met, src)
-    label = checkpointed(components(links))
-    rest = buckets.join(label.select(F.col("node").alias("sk"), "root"), "sk", "left").withColumn("c", F.coalesce("root", "sk")).drop("root")
-    # buckets of at most PIVOTS + 1 lines have had all their pairs verified
-    rest = rest.withColumn("n", F.count("*").over(Window.partitionBy("k"))).where(F.col("n") > PIVOTS + 1)
-    rest = checkpointed(_several(rest.drop("n"), "c"))
-    across = rest.join(rest.select("k", F.col("sk").alias("sk2"), F.col("c").alias("d")), "k").where((F.col("sk") < F.col("sk2")) & (F.col("c") != F.col("d"))).select(F.col("sk").alias("a"), F.col("sk2").alias("b"))
-    more = _verified(across, src)
-    if more.isEmpty():
-        return label.select(F.col("node").alias("sk"), "root")
-    return checkpointed(components(links.unionByName(more))).select(F.col("node").alias("sk"), "root")
+    buckets = checkpointed(shared_only(_mapped(src, _buckets, "k long, sk long"), shuffle_partitions(src.sparkSession)))
+    known = _known(src, buckets.select("sk"))
+    other = lambda df, *more: df.select("k", F.col("sk").alias("sk2"), F.col("c").alias("d"), *more)
+    pair = (F.least("sk", "sk2").alias("a"), F.greatest("sk", "sk2").alias("b"))
+    rest, links, label = buckets.withColumn("c", F.col("sk")), None, None
+    for turn in range(ROUNDS):
+        ranked = rest.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64(F.lit(turn), "sk"), "sk")))
+        met = ranked.join(other(ranked.where(F.col("r") <= PIVOTS), F.col("r").alias("q")), "k").where("r > q and c <> d").select(*pair)
+        found = _verified(met, known)
+        links = found if links is None else links.unionByName(found)
+        label = checkpointed(components(links))
+        if not turn:  # buckets of at most PIVOTS + 1 lines have had all their pairs verified
+            rest = rest.withColumn("_size", F.count("*").over(Window.partitionBy("k"))).where(F.col("_size") > PIVOTS + 1).drop("_size")
+        rest = rest.drop("c").join(label.select(F.col("node").alias("sk"), "root"), "sk", "left").withColumn("c", F.coalesce("root", "sk")).drop("root")
+        rest = checkpointed(_several(rest, "c"))
+        size = rest.groupBy("k").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
+        if (size[1] or 0) <= FEW * (size[0] or 0):
+            break
+    rest = checkpointed(rest.join(known.select("sk", "n", "s", _folded("s").alias("f")), "sk"))
+    across = rest.join(other(rest, F.col("n").alias("m"), F.col("s").alias("s2"), F.col("f").alias("f2")), "k").where((F.col("sk") < F.col("sk2")) & (F.col("c") != F.col("d")) & _near("n", "m", "s", "s2", ("f", "f2"))).select(*pair)
+    more = _verified(across, known)
+    if not more.isEmpty():
+        label = checkpointed(components(links.unionByName(more)))
+    return label.select(F.col("node").alias("sk"), "root")
 
 
 def dedup(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -174,24 +244,21 @@ def dedup(documents: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     row = F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string"))
     order = F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))
     src = documents.where(F.col(text).isNotNull()).select(order.alias("o"), row.alias("row"), F.col(text).cast("string").alias("text"))
-    seen = checkpointed(_mapped(src, _occurrences, "o long, row long, line int, sk long"))
+    seen = written(_mapped(src, _occurrences, "o long, row long, line int, sk long"))
     root = classes(src)
     place = F.struct("o", "row", "line")
-    lines = seen.groupBy("sk").agg(F.min(place).alias("first"), F.min(place) != F.max(place)).toDF("sk", "first", "again")
-    lines = lines.join(root, "sk", "left")
-    fuzzy = lines.where("root is not null").groupBy("root").agg(F.min("first").alias("keep"))
-    again = lines.where("root is null and again").select("sk", F.col("first").alias("keep"))
-    keep = again.unionByName(lines.where("root is not null").join(fuzzy, "root").select("sk", "keep"))
-    gone = seen.join(keep, "sk").where(place != F.col("keep")).groupBy("o", "row").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
-    long = seen.groupBy("o", "row").agg(F.countDistinct("line").alias("n_long"))
-    marks = long.join(gone, ["o", "row"], "left")
-    out = documents.withColumn("_o", order).withColumn("_row", row).join(marks.withColumnRenamed("o", "_o").withColumnRenamed("row", "_row"), ["_o", "_row"], "left").drop("_o", "_row")
-    none = F.array().cast("array<int>")
-    out = out.withColumn("dropped", F.coalesce("dropped", none)).withColumn("n_long", F.coalesce("n_long", F.lit(0)).cast("long"))
+    # only lines that stand several times, or have similar ones, are ordered
+    again = seen.groupBy("sk").agg(F.count("*").alias("n")).where("n > 1").select("sk").join(root, "sk", "left_anti").select("sk", F.col("sk").alias("class"))
+    held = seen.join(root.select("sk", F.col("root").alias("class")).unionByName(again), "sk").drop("sk")
+    first = held.groupBy("class").agg(F.min(place).alias("keep"))
+    gone = held.join(first, "class").where(place != F.col("keep")).groupBy("o", "row").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
+    gone = gone.withColumnRenamed("o", "__line_o").withColumnRenamed("row", "__line_row").withColumnRenamed("dropped", "__line_dropped")
+    out = documents.drop("n_lines", "n_long", "dropped").withColumn("__line_o", order).withColumn("__line_row", row).join(gone, ["__line_o", "__line_row"], "left").drop("__line_o", "__line_row")
+    out = out.withColumn("dropped", F.coalesce("__line_dropped", F.array().cast("array<int>"))).drop("__line_dropped")
     parts = F.split(F.col(text).cast("string"), "\n", -1)
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("dropped", i)), "\n")
-    out = out.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long"))
-    out = out.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
+    out = out.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long"))
+    out = out.withColumn("n_long", F.when(F.col(text).isNull(), 0).otherwise(F.size(F.filter(parts, lambda x: F.length(x) >= LEAST))).cast("long"))
     return out.withColumn(text, F.when(F.size("dropped") > 0, left).otherwise(F.col(text)))
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm._common import bitmap_filter, buffer_of, checkpointed, in_bitmap, mix64, shared_only, shuffle_partitions, slices, span_hashes, table
+from strata.llm._common import SMALL_SLICE, bitmap_filter, buffer_of, checkpointed, in_bitmap, mix64, shared_only, shuffle_partitions, slices, span_hashes, table
 from strata.llm._graph import components
 
 WORDS = 5
@@ -131,7 +131,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 def _sets(df: DataFrame, fn, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL_SLICE):
             out = fn(batch.column(0), shingle_sets(batch.column(1)))
             if out is not None and out.num_rows:
                 yield out
@@ -156,7 +156,7 @@ def _summaries(src: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
         held = 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL_SLICE):
             sets = shingle_sets(batch.column(1))
             key = [set_key(s) if len(s) else None for s in sets]
             columns = ([0] * len(sets), batch.column(0), [len(s) for s in sets], key, [sketch(s) if len(s) else None for s in sets])
@@ -334,3 +334,19 @@ def link(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
+
+
+#: The same result from its definition: every pair of documents that shares a shingle, and the closure of the links.
+ORACLE_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from words),
+grams as (select doc_id, len(s) as n, unnest(s) as g from sets),
+links as (
+  select a.doc_id as x, b.doc_id as y from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach as (select doc_id, doc_id as r from sets union select reach.doc_id, links.y from reach join links on links.x = reach.r)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(reach.r) as component_id from sets s join reach on reach.doc_id = s.doc_id group by s.doc_id, s.s
+"""

@@ -14,8 +14,8 @@ The Benjamini-Hochberg rule at rate ``RATE`` is applied within bands of length,
 needs counts of p-values in bins only, a table of fixed size, and a bin counts with its larger edge.
 
 Spans are in code points, end exclusive; within a kind they are leftmost and do not overlap; ``random`` spans do not
-overlap others.  Defined cases: null and empty texts have no spans; repeated rows are scanned each; an empty
-table gives an empty result.
+overlap others.  Defined cases: null and empty texts have no spans; repeated rows are scanned each; other columns
+pass through, but ones named as the results are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -148,18 +148,18 @@ def _combined(s: Column) -> Column:
 
 
 def _bins(df: DataFrame, text: str) -> DataFrame:
-    """Add ``_base`` (arrays of the base spans by kind) and ``_tested`` (start, end, band, bin of every candidate)."""
+    """Add arrays of the base spans by kind and of (start, kind, end, band, bin) of every candidate."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    df = df.withColumn("_text", t)
-    base = base_spans(F.col("_text"))
-    df = df.withColumns({f"_{k}": v for k, v in base.items()})
-    tokens = _spans(F.col("_text"), TOKEN, 3, TOKEN)
-    taken = F.concat("_assign", "_access", "_hex")
+    df = df.withColumn("__secret_text", t)
+    base = base_spans(F.col("__secret_text"))
+    df = df.withColumns({f"__secret_{k}": v for k, v in base.items()})
+    tokens = _spans(F.col("__secret_text"), TOKEN, 3, TOKEN)
+    taken = F.concat("__secret_assign", "__secret_access", "__secret_hex")
     apart = F.filter(tokens, lambda x: ~F.exists(taken, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    df = df.withColumn("_candidates", apart)
-    level = lambda x: F.least(F.floor(-F.log10(p_value(F.substring(F.col("_text"), x["start"] + 1, x["end"] - x["start"]))) / BIN), F.lit(BINS - 1)).cast("int")
+    df = df.withColumn("__secret_candidates", apart)
+    level = lambda x: F.least(F.floor(-F.log10(p_value(F.substring(F.col("__secret_text"), x["start"] + 1, x["end"] - x["start"]))) / BIN), F.lit(BINS - 1)).cast("int")
     band = lambda x: F.floor(2 * F.log2((x["end"] - x["start"]).cast("double"))).cast("int")
-    return df.withColumn("_tested", F.transform("_candidates", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), band(x).alias("band"), level(x).alias("bin"))))
+    return df.withColumn("__secret_tested", F.transform("__secret_candidates", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), band(x).alias("band"), level(x).alias("bin"))))
 
 
 def least_bins(counts: dict[tuple[int, int], int], rate: float = RATE) -> dict[int, int]:
@@ -180,15 +180,15 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     The counts of p-values cover all rows of ``df``, which is read twice.
     """
     tested = _bins(df, text)
-    counts = tested.select(F.explode("_tested").alias("x")).groupBy("x.band", "x.bin").agg(F.count("*").alias("n")).collect()  # bands times bins
+    counts = tested.select(F.explode("__secret_tested").alias("x")).groupBy("x.band", "x.bin").agg(F.count("*").alias("n")).collect()  # bands times bins
     least = least_bins({(r.band, r.bin): int(r.n) for r in counts})
     rule = F.create_map(*[F.lit(v) for pair in least.items() for v in pair]) if least else F.lit(None).cast("map<int,int>")
-    random = F.filter("_tested", lambda x: F.coalesce(x["bin"] >= F.element_at(rule, x["band"]), F.lit(False)))
+    random = F.filter("__secret_tested", lambda x: F.coalesce(x["bin"] >= F.element_at(rule, x["band"]), F.lit(False)))
     random = F.transform(random, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    out = tested.withColumn("_random", random)
-    out = out.withColumns({f"n_{k}": F.size(f"_{k}").cast("long") for k in KINDS})
-    out = out.withColumn("spans", F.array_sort(F.concat("_assign", "_access", "_hex", "_random")))
-    return out.withColumn("base_spans", F.array_sort(F.concat("_assign", "_access", "_hex"))).drop("_text", "_candidates", "_tested", *(f"_{k}" for k in KINDS))
+    out = tested.withColumn("__secret_random", random)
+    out = out.withColumns({f"n_{k}": F.size(f"__secret_{k}").cast("long") for k in KINDS})
+    out = out.withColumn("spans", F.array_sort(F.concat("__secret_assign", "__secret_access", "__secret_hex", "__secret_random")))
+    return out.withColumn("base_spans", F.array_sort(F.concat("__secret_assign", "__secret_access", "__secret_hex"))).drop("__secret_text", "__secret_candidates", "__secret_tested", *(f"__secret_{k}" for k in KINDS))
 
 
 def shown(spans: str) -> Column:

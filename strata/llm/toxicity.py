@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm._common import in_training, map_text, table
+from strata.llm._common import SMALL_SLICE, in_training, map_text, slices, table
 
-PER_CLASS = 12_000
+PER_CLASS = 8_000
 PRIOR = 20.0
 MIN_ODDS = 1.0
 MIN_DOCUMENTS = 6
@@ -190,7 +190,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     facts = spark.sparkContext.broadcast({d: (side_of[d], weight[d], d in held) for d in key_of})  # at most 2 * per_class
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches, "text", SMALL_SLICE):
             sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0])
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 side, w, out = facts.value[d]
@@ -204,13 +204,14 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     counts = sample.select("doc_id", "text").mapInArrow(count, "f string, clean double, toxic double, n long").groupBy("f").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"), F.sum("n").alias("n"))
     learnt = [d for d in key_of if d not in held]
     n = [max(1e-9, sum(weight[d] for d in learnt if side_of[d] == side)) for side in (0, 1)]
-    seen_often = counts.where(F.col("n") >= MIN_DOCUMENTS).collect()  # of the bounded sample
-    model = ToxicityModel(log_odds({r.f: (float(r.c), float(r.t)) for r in seen_often}, n[0], n[1]))
+    seen_often = counts.where(F.col("n") >= MIN_DOCUMENTS).toArrow()  # of the bounded sample
+    model = ToxicityModel(log_odds(dict(zip(seen_often["f"].to_pylist(), zip(seen_often["c"].to_pylist(), seen_often["t"].to_pylist(), strict=True), strict=True)), n[0], n[1]))
+    del seen_often
     # what clean training words score gives the decay; then calibration on the held part
     shared = spark.sparkContext.broadcast(model)
 
     def clean_scores(batches):
-        for batch in batches:
+        for batch in slices(batches, "text", SMALL_SLICE):
             sums: dict[float, float] = defaultdict(float)
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 side, w, out = facts.value[d]
