@@ -91,10 +91,12 @@ def neighbours(documents: DataFrame, text: str = "text", key: str = "doc_id") ->
     spark = documents.sparkSession
     src = _ordered(documents, text, key)
     parts = shuffle_partitions(spark)
-    per = 24
+    per = 12
     ranges = 4 * parts
     order = src.select("o1", "o2")
-    drawn = sorted((r.o1, r.o2) for r in order.orderBy(F.xxhash64("o1", "o2"), "o1", "o2").limit(per * ranges).collect())  # places of the ranges' bounds
+    # places of the ranges' bounds, a few a range; a share of the rows by their hash, so that no task sends more
+    draw = F.pmod(F.xxhash64(F.lit(1), "o1", "o2"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * per * ranges / max(1, order.count())))
+    drawn = sorted((r.o1, r.o2) for r in order.where(draw).orderBy(F.xxhash64("o1", "o2"), "o1", "o2").limit(per * ranges).collect())
     bounds = drawn[per::per]
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
