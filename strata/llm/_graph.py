@@ -20,8 +20,12 @@ def _star(around: DataFrame, large: bool) -> DataFrame:
     if large:  # the larger neighbours move to the least one
         moved = tied.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:  # the node and its smaller neighbours do
-        moved = tied.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return moved.where("a <> b").distinct()
+        moved = tied.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+    return moved.where("a <> b")
+
+
+#: Edges that one task reads; few edges make few tasks and few files.
+EDGES = 200_000
 
 
 def components(edges: DataFrame, first: str = "a", second: str = "b") -> DataFrame:
@@ -34,10 +38,12 @@ def components(edges: DataFrame, first: str = "a", second: str = "b") -> DataFra
     now = checkpointed(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
     while mark[0]:
+        now = now.coalesce(max(1, -(-mark[0] // EDGES)))
         now = _star(_ends(now), large=True)
-        now = checkpointed(_star(now.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), large=False))
+        now = checkpointed(_star(now.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), large=False).distinct())
         after = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if after == mark:
             break
         mark = after
+    now = now.coalesce(max(1, -(-mark[0] // EDGES)))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
