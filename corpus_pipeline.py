@@ -31,7 +31,7 @@ def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go, and documents none of whose long lines is left."""
     ship(spark)
     columns = docs.columns
-    out = line_dedup.dedup(docs).where((F.col("n_long") == 0) | (F.size("dropped") < F.col("n_long")))
+    out = line_dedup.dedup(docs, short=True).where((F.col("n_long") == 0) | (F.size("dropped") < F.col("n_long")))
     return _measured(out, columns)
 
 

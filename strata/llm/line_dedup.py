@@ -1,8 +1,9 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines are what stands between line feeds.  Lines of at least ``LEAST`` characters take part; shorter ones (blank
-lines, brackets, headings) always stay.  Equal lines are one line.  A line's set is its distinct runs of ``SHINGLE``
-characters; ``BANDS`` bands of ``ROWS`` minima of independent hashes make lines with Jaccard similarity
+Lines are what stands between line feeds.  Lines of at least ``LEAST`` characters take part, and, if ``short`` is
+asked for as the query and the pipeline do, all shorter ones that hold more than ASCII white space.  Equal lines are
+one line.  A line's set is its distinct runs of ``SHINGLE`` characters; a line of fewer is its only shingle, so it is
+similar to equal lines alone and needs no bands; ``BANDS`` bands of ``ROWS`` minima of independent hashes make lines with Jaccard similarity
 ``THRESHOLD`` or more meet with a probability of 99 %.  Pairs are verified on the exact sets; verified pairs are
 united by distributed star contraction, and of every component one line stays, the first by (doc_id, line number).
 
@@ -48,7 +49,7 @@ _BLOCK = 200
 class Lines:
     """The lines of a batch of texts, as spans of their bytes."""
 
-    def __init__(self, texts: pa.Array) -> None:
+    def __init__(self, texts: pa.Array, short: bool = False) -> None:
         self.raw, offsets = buffer_of(texts)
         breaks = np.flatnonzero(self.raw == 10)
         count = len(offsets) - 1
@@ -64,9 +65,12 @@ class Lines:
         self.places = np.flatnonzero((self.raw & 0xC0) != 0x80)  # where characters begin
         self.first = np.searchsorted(self.places, self.start)
         self.chars = np.searchsorted(self.places, self.end) - self.first
-        long = self.chars >= LEAST
+        taken = self.chars >= LEAST
+        if short:
+            ink = np.concatenate(([0], np.cumsum((self.raw != 32) & ((self.raw < 9) | (self.raw > 13)), dtype=np.int32)))
+            taken |= ink[self.end] > ink[self.start]
         for name in ("doc", "start", "end", "number", "first", "chars"):
-            setattr(self, name, getattr(self, name)[long])
+            setattr(self, name, getattr(self, name)[taken])
         self.sums = span_sums(self.raw)
         self.key = span_hashes(self.raw, self.start, self.end, self.sums).view(np.int64)
 
@@ -75,6 +79,10 @@ class Lines:
             setattr(self, name, getattr(self, name)[chosen])
         return self
 
+    def shingled(self) -> Lines:
+        """The lines that hold a shingle."""
+        return self.only(self.chars >= SHINGLE)
+
     def distinct(self) -> Lines:
         return self.only(np.unique(self.key, return_index=True)[1])
 
@@ -132,10 +140,10 @@ def similar(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> bool:
     return common >= threshold * (len(x) + len(y) - common) - 1e-9
 
 
-def _mapped(src: DataFrame, fn, schema: str) -> DataFrame:
+def _mapped(src: DataFrame, fn, schema: str, short: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SMALL_SLICE):
-            out = fn(batch, Lines(batch.column(2)))
+            out = fn(batch, Lines(batch.column(2), short))
             if out is not None and out.num_rows:
                 yield out
 
@@ -148,17 +156,18 @@ def _occurrences(batch: pa.RecordBatch, lines: Lines) -> pa.RecordBatch:
 
 
 def _buckets(_: pa.RecordBatch, lines: Lines) -> pa.RecordBatch | None:
-    lines = lines.distinct()
+    lines = lines.shingled().distinct()
     if not len(lines.key):
         return None
     return pa.RecordBatch.from_arrays([pa.array(lines.bands().ravel()), pa.array(np.tile(lines.key, BANDS))], names=["k", "sk"])
 
 
-def _known(src: DataFrame, asked: DataFrame) -> DataFrame:
+def _known(src: DataFrame, asked: DataFrame, short: bool) -> DataFrame:
     """(sk, n, s, t): size, sketch and text of the lines that are asked for."""
     bits = src.sparkSession.sparkContext.broadcast(bitmap_filter(asked, "sk"))
 
     def fetch(_: pa.RecordBatch, lines: Lines) -> pa.RecordBatch | None:
+        lines = lines.shingled()
         lines = lines.only(in_bitmap(bits.value, lines.key.view(np.uint64))).distinct()
         if not len(lines.key):
             return None
@@ -167,7 +176,7 @@ def _known(src: DataFrame, asked: DataFrame) -> DataFrame:
         words = pa.ListArray.from_arrays(pa.array(np.arange(len(lines.key) + 1) * (SKETCH // 64), pa.int32()), pa.array(sketches.ravel()))
         return pa.RecordBatch.from_arrays([pa.array(lines.key), pa.array(sizes.astype(np.int32)), words, texts], names=["sk", "n", "s", "t"])
 
-    found = _mapped(src, fetch, "sk long, n int, s array<long>, t string").join(asked.distinct(), "sk", "left_semi")
+    found = _mapped(src, fetch, "sk long, n int, s array<long>, t string", short).join(asked.distinct(), "sk", "left_semi")
     return written(found.dropDuplicates(["sk"]))
 
 
@@ -198,7 +207,7 @@ def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
         for batch in slices(batches, "ta", 1 << 18):
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             texts = list(dict.fromkeys(a + b))
-            number = dict(zip(texts, Lines(pa.array(texts, pa.string())).sets(), strict=True))  # each text is one line
+            number = dict(zip(texts, Lines(pa.array(texts, pa.string()), True).sets(), strict=True))  # each text is one line
             keep = [similar(number[x], number[y]) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -211,10 +220,10 @@ def _several(lists: DataFrame, column: str) -> DataFrame:
     return lists.withColumn("_lo", F.min(column).over(each)).withColumn("_hi", F.max(column).over(each)).where("_lo <> _hi").drop("_lo", "_hi")
 
 
-def classes(src: DataFrame) -> DataFrame:
+def classes(src: DataFrame, short: bool = False) -> DataFrame:
     """(sk, root) of the lines that are similar to another one."""
-    buckets = checkpointed(shared_only(_mapped(src, _buckets, "k long, sk long"), shuffle_partitions(src.sparkSession)))
-    known = _known(src, buckets.select("sk"))
+    buckets = checkpointed(shared_only(_mapped(src, _buckets, "k long, sk long", short), shuffle_partitions(src.sparkSession)))
+    known = _known(src, buckets.select("sk"), short)
     other = lambda df, *more: df.select("k", F.col("sk").alias("sk2"), F.col("c").alias("d"), *more)
     pair = (F.least("sk", "sk2").alias("a"), F.greatest("sk", "sk2").alias("b"))
     rest, links, label = buckets.withColumn("c", F.col("sk")), None, None
@@ -239,13 +248,15 @@ def classes(src: DataFrame) -> DataFrame:
     return label.select(F.col("node").alias("sk"), "root")
 
 
-def dedup(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows with ``text`` without the lines that repeat an earlier one, and n_lines, n_long, dropped (line numbers)."""
+def dedup(documents: DataFrame, text: str = "text", key: str = "doc_id", short: bool = False) -> DataFrame:
+    """The rows with ``text`` without the lines that repeat an earlier one, and n_lines, n_long, dropped (line numbers).
+
+    With ``short`` lines under ``LEAST`` characters take part too."""
     row = F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string"))
     order = F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))
     src = documents.where(F.col(text).isNotNull()).select(order.alias("o"), row.alias("row"), F.col(text).cast("string").alias("text"))
-    seen = written(_mapped(src, _occurrences, "o long, row long, line int, sk long"))
-    root = classes(src)
+    seen = written(_mapped(src, _occurrences, "o long, row long, line int, sk long", short))
+    root = classes(src, short)
     place = F.struct("o", "row", "line")
     # only lines that stand several times, or have similar ones, are ordered
     again = seen.groupBy("sk").agg(F.count("*").alias("n")).where("n > 1").select("sk").join(root, "sk", "left_anti").select("sk", F.col("sk").alias("class"))
@@ -264,5 +275,5 @@ def dedup(documents: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_kept, dropped, text): every document without the lines that repeat an earlier one."""
-    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "dropped", "text")

@@ -154,3 +154,46 @@ def test_line_dedup_odd(odd, none):
     assert by[3][0].text is None and by[3][0].n_lines == 0
     assert by[4][0].text == "" and by[10][0].dropped == [1, 2]
     assert line_dedup.dedup(none).count() == 0
+
+
+def brute_lines_of_all_lengths(rows):
+    occurrences = defaultdict(list)
+    for o, i, t in rows:
+        for j, line in enumerate((t or "").split("\n")):
+            if len(line) >= 20 or line.strip("\t\n\v\f\r "):
+                occurrences[line].append((o, i, j))
+    sets = {x: {x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in occurrences}
+    lines, parent = list(occurrences), {}
+    for i, a in enumerate(lines):
+        find(parent, i)
+        for j in range(i):
+            b = lines[j]
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                unite(parent, i, j)
+    groups = defaultdict(set)
+    for i, line in enumerate(lines):
+        groups[find(parent, i)] |= set(occurrences[line])
+    return {x for g in groups.values() for x in g if x != min(g)}
+
+
+def test_line_dedup_of_all_lengths(spark, documents):
+    """Short lines repeat as others do; blank ones stay."""
+    some = documents.where("doc_id < 70").select("doc_id", "text")
+    extra = [(1000, "And.\n\nAnd.\n }\n  \n漢字漢字\nabcdefghijklmno"), (1001, " }\n\n漢字漢字\nabcdefghijklmnop\nabcdefg\n}\n  \nown text"), (1002, "}\n\nabcdefg\nabcdefgh")]
+    some = some.unionByName(spark.createDataFrame(extra, some.schema)).cache()
+    rows = line_dedup.dedup(some, short=True).collect()
+    got = {(r.doc_id, r.doc_id, j) for r in rows for j in r.dropped}
+    want = brute_lines_of_all_lengths([(r.doc_id, r.doc_id, r.text) for r in some.collect()])
+    assert len(got ^ want) <= 0.02 * len(want)
+    texts = {r.doc_id: r.text.split("\n") for r in some.where("text is not null").collect()}
+    assert all(len(texts[x[0]][x[2]]) >= 8 for x in got ^ want)  # exact repeats depend on no bands
+    by = {r.doc_id: r for r in rows}
+    assert set(by[1001].dropped) >= {0, 2} and 1 not in by[1001].dropped and 6 not in by[1001].dropped
+    assert by[1002].dropped == [0, 2] and by[1002].text == "\nabcdefgh"
+
+
+def test_query_drops_short_repeats(spark, tmp_path):
+    rows = [(1, "And.\nfirst"), (2, "And.\nsecond\n\n\nAnd.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: (r.n_lines, r.n_kept, r.dropped, r.text) for r in line_dedup.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert out == {1: (2, 2, [], "And.\nfirst"), 2: (5, 3, [0, 4], "second\n\n")}
