@@ -28,10 +28,10 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go, and documents none of whose long lines is left."""
+    """Lines that repeat an earlier one go, and documents of which that leaves no more than white space."""
     ship(spark)
     columns = docs.columns
-    out = line_dedup.dedup(docs, short=True).where((F.col("n_long") == 0) | (F.size("dropped") < F.col("n_long")))
+    out = line_dedup.dedup(docs, short=True).where((F.size("dropped") == 0) | F.col("text").rlike(r"[^\t\n\x0B\f\r ]"))
     return _measured(out, columns)
 
 

@@ -115,3 +115,14 @@ def test_pipeline(spark, sf_dir, odd):
         strange = spark.createDataFrame(strange.collect(), odd.schema)
     assert strange.where("doc_id is null").count() == 2
     assert corpus_pipeline.STAGES[-1][1](spark, strange, sf_dir).count() >= strange.count()
+
+
+def test_line_stage_keeps_what_is_left(spark):
+    """A document whose long lines all stand elsewhere keeps its own short ones; one without any text left goes."""
+    import corpus_pipeline
+
+    a, b = prose(21, 20), prose(22, 20)
+    rows = [(1, a), (2, b), (3, f"{a}\n{b}\nown"), (4, f"{a}\n\n{b}"), (5, ""), (6, None), (7, " \n"), (8, f"{b}\n{{}}"), (9, "{}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in corpus_pipeline.lines_once(spark, docs, "").collect()}
+    assert out == {1: a, 2: b, 3: "own", 5: "", 6: None, 7: " \n", 8: "{}"}
