@@ -35,3 +35,18 @@ def test_equals_sql(spark, duck, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+@pytest.fixture(scope="module")
+def long_log(spark, tmp_path_factory):
+    """A log of more records than any run, group of runs or prefix holds."""
+    path = str(tmp_path_factory.mktemp("long"))
+    spark.range(9500).selectExpr("id as event_id", "id % 37 as user_id", "if(id % 5 = 0, 'error', 'click') as event_type", "concat('n', id) as props", "timestamp_seconds(id) as ts").write.parquet(f"{path}/events.parquet")
+    return path
+
+
+def test_crc32c_of_the_whole_log(spark, long_log):
+    from strata.sources import wal
+
+    got = {r.seq: r.crc for r in QUERIES["crc32c_values"](spark, long_log).collect()}
+    assert got == {i + 1: wal.crc32c(b"" if i % 5 == 0 else f"n{i}".encode()) for i in range(9500)}
