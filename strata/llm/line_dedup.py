@@ -4,7 +4,7 @@ Lines are what stands between line feeds.  Lines of at least ``LEAST`` character
 asked for as the query and the pipeline do, all shorter ones that hold more than ASCII white space.  Equal lines are
 one line.  A line's set is its distinct runs of ``SHINGLE`` characters; a line of fewer is its only shingle, so it is
 similar to equal lines alone and needs no bands; ``BANDS`` bands of ``ROWS`` minima of independent hashes make lines with Jaccard similarity
-``THRESHOLD`` or more meet with a probability of 99 %.  Pairs are verified on the exact sets; verified pairs are
+``THRESHOLD`` or more meet with a probability of over 99 % (99.5 % at ``THRESHOLD`` itself).  Pairs are verified on the exact sets; verified pairs are
 united by distributed star contraction, and of every component one line stays, the first by (doc_id, line number).
 
 Buckets are not paired off: each proposes ``PIVOTS`` of its lines to all, what links is merged, and after
@@ -32,7 +32,7 @@ from strata.llm._graph import components
 LEAST = 20
 SHINGLE = 8
 THRESHOLD = 0.8
-BANDS = 9
+BANDS = 10
 ROWS = 4
 PIVOTS = 3
 ROUNDS = 1

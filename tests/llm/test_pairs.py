@@ -197,3 +197,8 @@ def test_query_drops_short_repeats(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     out = {r.doc_id: (r.n_lines, r.n_kept, r.dropped, r.text) for r in line_dedup.op1_line_dedup(spark, str(tmp_path)).collect()}
     assert out == {1: (2, 2, [], "And.\nfirst"), 2: (5, 3, [0, 4], "second\n\n")}
+
+
+def test_bands_miss_few_pairs():
+    """At the threshold fewer than 6 pairs of 1,000 may meet in no band."""
+    assert (1 - line_dedup.THRESHOLD**line_dedup.ROWS) ** line_dedup.BANDS < 0.006
