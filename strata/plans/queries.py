@@ -202,11 +202,20 @@ def _(s, d):
     return maintenance.manifest_live(adds.unionByName(dels).unionByName(reset))
 
 
-@query("internal_key_codec", "select user_key, seq, cast(vtype as bigint) as vtype, hex(encode(user_key)) || (select string_agg(lpad(hex((((seq << 8) | vtype) >> (8 * i)) & 255), 2, '0'), '' order by i) from range(8) t(i)) as internal_key from log where seq <= 2000")
-def _(s, d):
+def _internal_keys(log):
     packed = codec.internal_key(F.col("user_key"), F.col("seq"), F.col("vtype"))
     key, seq, vtype = codec.decode_internal_key(F.col("packed"))
-    return _log(s, d).where("seq <= 2000").select(packed.alias("packed")).select(key.alias("user_key"), seq.alias("seq"), vtype.alias("vtype"), F.hex("packed").alias("internal_key"))
+    return log.select(packed.alias("packed")).select(key.alias("user_key"), seq.alias("seq"), vtype.alias("vtype"), F.hex("packed").alias("internal_key"))
+
+
+@query("internal_key_codec", "select user_key, seq, cast(vtype as bigint) as vtype, hex(encode(user_key)) || (select string_agg(lpad(hex((((seq << 8) | vtype) >> (8 * i)) & 255), 2, '0'), '' order by i) from range(8) t(i)) as internal_key from log where seq <= 2000")
+def _(s, d):
+    return _internal_keys(_log(s, d).where("seq <= 2000"))  # as far as its SQL goes
+
+
+@query("internal_key_codec_log")
+def _(s, d):
+    return _internal_keys(_log(s, d))
 
 
 _KEYS_SQL = "(select distinct user_key from log)"

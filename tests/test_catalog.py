@@ -50,3 +50,9 @@ def test_crc32c_of_the_whole_log(spark, long_log):
 
     got = {r.seq: r.crc for r in QUERIES["crc32c_values"](spark, long_log).collect()}
     assert got == {i + 1: wal.crc32c(b"" if i % 5 == 0 else f"n{i}".encode()) for i in range(9500)}
+
+
+def test_internal_keys_of_the_whole_log(spark, long_log):
+    got = {(r.user_key, r.seq, r.vtype, r.internal_key) for r in QUERIES["internal_key_codec_log"](spark, long_log).collect()}
+    rows = [(f"u{i % 37:08d}", i + 1, 2 if i % 5 == 0 else 1) for i in range(9500)]
+    assert got == {(k, s, t, (k.encode() + ((s << 8) | t).to_bytes(8, "little")).hex().upper()) for k, s, t in rows}
