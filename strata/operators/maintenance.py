@@ -44,6 +44,21 @@ def merge_runs(*runs: DataFrame) -> DataFrame:
     return merged.withColumn("version_rank", F.row_number().over(order))
 
 
+def merge_groups(runs: DataFrame, group: int) -> DataFrame:
+    """Each ``group`` runs merged as by ``merge_runs``: every version, with its place among those of its key in the group."""
+    order = Window.partitionBy("run_group", "user_key").orderBy(F.desc("seq"), "vtype")
+    return _grouped(runs, group).withColumn("version_rank", F.row_number().over(order))
+
+
+def compact_groups(runs: DataFrame, group: int) -> DataFrame:
+    """The newest version of every key in each ``group`` runs; tombstones stay, as older runs may hold the key."""
+    return merge_groups(runs, group).where("version_rank = 1").drop("version_rank")
+
+
+def _grouped(runs: DataFrame, group: int) -> DataFrame:
+    return runs.withColumn("run_group", F.floor(F.col("run_id") / group).cast("long"))
+
+
 def compact(runs: DataFrame, drop_tombstones: bool) -> DataFrame:
     """The newest version of every key; tombstones may go only if the input holds all older runs."""
     newest = latest(runs)
@@ -79,8 +94,7 @@ def manifest_live(edits: DataFrame) -> DataFrame:
 
 def write_amplification(runs: DataFrame, group: int) -> DataFrame:
     """Rows read and rows kept by compacting each ``group`` runs together."""
-    grouped = runs.withColumn("run_group", F.floor(F.col("run_id") / group).cast("long"))
-    return grouped.groupBy("run_group").agg(F.count("*").alias("rows_in"), F.countDistinct("user_key").alias("rows_kept"))
+    return _grouped(runs, group).groupBy("run_group").agg(F.count("*").alias("rows_in"), F.countDistinct("user_key").alias("rows_kept"))
 
 
 def write_run(run: DataFrame, path: str, partitions: int, compression: str = "zstd") -> None:

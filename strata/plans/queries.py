@@ -147,6 +147,21 @@ def _(s, d):
     return maintenance.compact(runs, drop_tombstones=False).select("user_key", "seq", F.col("vtype").cast("long").alias("vtype"), "value")
 
 
+_GROUPS = f"(select *, row_number() over (partition by run_id // 4, user_key order by seq desc, vtype) as version_rank from {_RUNS})"
+
+
+@query("merge_run_groups", f"select run_id // 4 as run_group, user_key, seq, cast(vtype as bigint) as vtype, cast(version_rank as bigint) as version_rank from {_GROUPS}")
+def _(s, d):
+    merged = maintenance.merge_groups(maintenance.with_run(_log(s, d), ROWS_PER_RUN), 4)
+    return merged.select("run_group", "user_key", "seq", F.col("vtype").cast("long").alias("vtype"), F.col("version_rank").cast("long").alias("version_rank"))
+
+
+@query("compact_l0_groups", f"select run_id // 4 as run_group, user_key, seq, cast(vtype as bigint) as vtype, value from {_GROUPS} where version_rank = 1")
+def _(s, d):
+    kept = maintenance.compact_groups(maintenance.with_run(_log(s, d), ROWS_PER_RUN), 4)
+    return kept.select("run_group", "user_key", "seq", F.col("vtype").cast("long").alias("vtype"), "value")
+
+
 @query("compact_l0_final", f"select user_key, seq, value from {_newest('log')} where vtype = 1")
 def _(s, d):
     return maintenance.compact(maintenance.with_run(_log(s, d), ROWS_PER_RUN), drop_tombstones=True).select(*_KV)
