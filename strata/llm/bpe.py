@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from strata.llm._common import map_text, table
 
 #: Longest byte string that is encoded at once; longer ones are halved.
-LEAF = 64
+LEAF = 4
 #: Pre-tokens that a worker remembers before it forgets all of them (bounds its memory).
 CACHE = 400_000
 

@@ -265,3 +265,13 @@ def test_toxicity(spark, odd, none):
     assert documents.where(toxicity.probability(documents, model) >= 0.7).count() == toxicity.score(documents, model).where("predicted = 1").count()
     one_sided = toxicity.fit(documents, marks.where("toxic = 0").withColumn("doc_id", F.col("doc_id")))
     assert 0 <= toxicity.score(odd, one_sided).first().score < 0.7
+
+
+def test_bpe_of_a_text_uses_the_tree(monkeypatch):
+    """Words of ordinary length are joined from leaves, to the ids that plain merging gives."""
+    tree = bpe.TreeBPE(*bpe.default_vocabulary())
+    joined, join = [], tree.join
+    monkeypatch.setattr(tree, "join", lambda a, b: joined.append(1) or join(a, b))
+    words = [" unfathomably", " Quzzlement", "naïvetés", " 漢字漢字"]
+    assert [list(tree.piece(w)) for w in words] == [tree.merge(w.encode()) for w in words]
+    assert len(joined) >= len(words)
