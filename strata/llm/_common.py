@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one call of a batch function gets at most (one row may be longer).
 SLICE_BYTES = 4 << 20
 #: The same where numpy holds some tens of bytes for each byte of text.
-SMALL_SLICE = 1 << 20
+SMALL_SLICE = 1 << 19
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +47,55 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             start = stop
 
 
-def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """Record batches that go to Python hold ``SLICE_BYTES`` at most, or less where the session says so."""
+    held = "".join(c for c in spark.conf.get(_BATCH_BYTES) if c.isdigit())
+    if not held or int(held) > SLICE_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(SLICE_BYTES))
+
+
+#: What a worker process keeps between tasks: the model or vocabulary of the operator that it ran last.
+_RESIDENT: dict[Any, Any] = {}
+
+
+def resident(key: Any, build: Callable[[], Any]) -> Any:
+    """``build()``, kept in the worker until another operator asks for what it needs."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        give_back()
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]
+
+
+def give_back() -> None:
+    """Return freed memory to the system; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Run, keeps: bool = False) -> Run:
+    """A ``mapInArrow`` function that leaves no memory behind, but the resident model if it ``keeps`` one."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _RESIDENT.clear()
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
+def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, limit: int = SLICE_BYTES, keeps: bool = False) -> DataFrame:
     """``mapInArrow`` over slices of bounded size; ``fn`` turns one slice into one record batch, or none."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column, limit):
@@ -50,7 +103,7 @@ def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Recor
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run, keeps), schema)
 
 
 def buffer_of(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +151,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.ones(max(n, SMALL_SLICE + 1), np.uint64)
         have[1:] = np.uint64(base & (2**64 - 1))
         np.multiply.accumulate(have, out=have)
-        if len(have) <= 2 * SLICE_BYTES:
+        if len(have) <= 2 * SMALL_SLICE:
             _POWERS[base] = have
     return have[:n]
 
@@ -110,30 +163,36 @@ def span_sums(raw: np.ndarray) -> np.ndarray:
     return sums
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end): equal bytes have equal hashes wherever they stand."""
-    sums = span_sums(raw) if sums is None else sums
-    return mix64((sums[ends] - sums[starts]) * powers(_INVERSE, len(raw) + 1)[starts] + (ends - starts).astype(np.uint64))
+#: Spans of more bytes are hashed one by one: sums of powers are weak where long strings repeat themselves with a twist.
+SHORT_SPAN = 32
 
 
-def run_hashes(places: np.ndarray, length: int, sums: np.ndarray) -> np.ndarray:
-    """32-bit hashes of ``length`` characters from each place where a character begins, but the last ones."""
-    return (long_run_hashes(places, length, sums) >> np.uint64(32)).astype(np.uint32)
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end): equal bytes have equal hashes wherever they stand."""
+    sums = span_sums(raw)
+    out = mix64((sums[ends] - sums[starts]) * powers(_INVERSE, len(raw) + 1)[starts] + (ends - starts).astype(np.uint64))
+    long = np.flatnonzero(ends - starts > SHORT_SPAN)
+    if len(long):
+        view = memoryview(raw)
+        out[long] = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64, len(long))
+    return out
 
 
-def long_run_hashes(places: np.ndarray, length: int, sums: np.ndarray) -> np.ndarray:
-    """The same in 64 bits."""
-    at = sums[places]
-    n = max(0, len(places) - length)
-    return (at[length:] - at[:n]) * powers(_INVERSE, len(sums))[places[:n]]
+def span_digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of the byte spans, as two arrays of longs."""
+    view = memoryview(raw)
+    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of this application under ``spark.checkpoint.dir``; one is made only where none is set."""
+    """The shared folder of this application under ``spark.checkpoint.dir``; one is made only in local mode without it."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="strata-checkpoint-")
@@ -211,8 +270,9 @@ def shared_only(rows: DataFrame, parts: int, key: str = "k", member: str = "sk")
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
+    small_batches(rows.sparkSession)
     sorted_rows = rows.repartition(parts, key).sortWithinPartitions(key, member)
-    return sorted_rows.mapInArrow(run, rows.schema)
+    return sorted_rows.mapInArrow(tidy(run), rows.schema)
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ stable already, so the window is the only place where this can fail: it grows, d
 two edges are stable.  Decoding concatenates the tokens' bytes up the same tree.
 
 Defined cases: a null text counts as empty; an empty text has no tokens, the hash of no ids is that of the
-empty string; special tokens in a text are ordinary text.
+empty string; special tokens in a text are ordinary text; of a pattern with groups the whole match is taken, and
+characters that it does not match are left out; repeated rows and rows with a null key are encoded each; columns other
+than the key and the text are not read; a text of any length is encoded whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,12 +26,17 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm._common import map_text, table
+from strata.llm._common import map_text, resident, table
 
 #: Longest byte string that is encoded at once; longer ones are halved.
 LEAF = 4
-#: Pre-tokens that a worker remembers before it forgets all of them (bounds its memory).
-CACHE = 400_000
+#: Bytes of pre-tokens, and short byte strings, that a worker remembers before it forgets all of them.
+CACHE_BYTES = 64 << 20
+WINDOWS = 150_000
+#: Longest byte string whose encoding is remembered by itself.
+WINDOW = 12
+#: What an entry takes beside its text.
+_ENTRY = 200
 
 
 def _latin_pattern() -> re.Pattern:
@@ -50,11 +57,12 @@ class TreeBPE:
         self.tokens = {v: k for k, v in self.ranks.items()}
         self.leaf = max(2, leaf)
         self.pattern = regex.compile(pattern)
-        self.latin = _latin_pattern()
+        self.latin = _latin_pattern() if pattern == default_vocabulary()[1] else None
         self.beyond = re.compile("[^\x00-ɏ]")
+        self.held = 0
         self.cache: dict[str, tuple[int, ...]] = {}
         self.shown: dict[str, str] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.windows: dict[bytes, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Plain BPE of a short byte string: merge the lowest rank, leftmost first."""
@@ -75,33 +83,36 @@ class TreeBPE:
                 near[i] = get(parts[i] + parts[i + 1], 1 << 60)
         return [ranks[p] for p in parts]
 
-    def stable(self, a: int, b: int) -> bool:
-        """Whether the pair stays as it is when its bytes are encoded together."""
-        known = self.pairs.get((a, b))
+    def window(self, piece: bytes) -> list[int]:
+        """``merge`` of what may well come again."""
+        known = self.windows.get(piece)
         if known is None:
-            if len(self.pairs) > CACHE:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
+            known = self.merge(piece)
+            if len(piece) <= WINDOW:
+                if len(self.windows) > WINDOWS:
+                    self.windows.clear()
+                self.windows[piece] = known
         return known
 
+    def stable(self, a: int, b: int) -> bool:
+        """Whether the pair stays as it is when its bytes are encoded together."""
+        return self.window(self.tokens[a] + self.tokens[b]) == [a, b]
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The monoid's product: the encoding of the concatenation of what both lists encode."""
         if not left or not right:
             return left or right
-        if self.stable(left[-1], right[0]):
-            return left + right
-        k = 2
+        k, tokens = 1, self.tokens
         while True:
             i, j = max(0, len(left) - k), min(len(right), k)
-            window = b"".join(self.tokens[t] for t in left[i:] + right[:j])
-            middle = self.merge(window)
+            middle = self.window(b"".join([tokens[t] for t in left[i:]] + [tokens[t] for t in right[:j]]))
             if (i == 0 or self.stable(left[i - 1], middle[0])) and (j == len(right) or self.stable(middle[-1], right[j])):
                 return left[:i] + middle + right[j:]
             k *= 2
 
     def halves(self, piece: bytes) -> list[int]:
         """The tree, bottom up, so that no text is too long for the stack."""
-        level = [self.merge(piece[i : i + self.leaf]) for i in range(0, len(piece), self.leaf)]
+        level = [self.window(piece[i : i + self.leaf]) for i in range(0, len(piece), self.leaf)]
         while len(level) > 1:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0] if level else []
@@ -114,16 +125,20 @@ class TreeBPE:
         return tuple(self.merge(raw) if len(raw) <= self.leaf else self.halves(raw))
 
     def words(self, text: str) -> list[str]:
-        return (self.pattern if self.beyond.search(text) else self.latin).findall(text)
+        if self.latin is None or self.beyond.search(text):
+            return [m.group() for m in self.pattern.finditer(text)]
+        return self.latin.findall(text)
 
     def known(self, words: list[str]) -> None:
         cache = self.cache
-        if len(cache) > CACHE:
+        if self.held > CACHE_BYTES:
             cache.clear()
             self.shown.clear()
+            self.held = 0
         for w in set(words).difference(cache):
             cache[w] = ids = self.piece(w)
             self.shown[w] = ",".join(map(str, ids))
+            self.held += _ENTRY + 16 * len(w)
 
     def encode(self, text: str | None) -> list[int]:
         words = self.words(text or "")
@@ -143,14 +158,9 @@ class TreeBPE:
         return level[0] if level else b""
 
 
-_LOADED: dict[tuple[str, str], TreeBPE] = {}
-
-
 def loaded(path: str, pattern: str) -> TreeBPE:
     """One encoder for each worker process and vocabulary."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = TreeBPE(path, pattern)
-    return _LOADED[path, pattern]
+    return resident(("bpe", path, pattern), lambda: TreeBPE(path, pattern))
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -169,7 +179,7 @@ def encode_documents(df: DataFrame, text: str = "text", key: str = "doc_id", pat
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.binary())], names=["key", "ids", "decoded"])
 
     src = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return map_text(src, "text", run, "key long, ids array<int>, decoded binary").withColumnRenamed("key", key)
+    return map_text(src, "text", run, "key long, ids array<int>, decoded binary", keeps=True).withColumnRenamed("key", key)
 
 
 def encoding_digests(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -187,7 +197,7 @@ def encoding_digests(df: DataFrame, text: str = "text", key: str = "doc_id", pat
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(shown, pa.string()), pa.array(decoded, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     src = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return map_text(src, "text", run, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    return map_text(src, "text", run, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string", keeps=True).withColumnRenamed("key", key)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

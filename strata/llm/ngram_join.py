@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm._common import SMALL_SLICE, bitmap_filter, buffer_of, checkpointed, in_bitmap, mix64, shared_only, shuffle_partitions, slices, span_hashes, table
+from strata.llm._common import SMALL_SLICE, bitmap_filter, buffer_of, checkpointed, in_bitmap, mix64, shared_only, shuffle_partitions, slices, small_batches, span_hashes, table, tidy
 from strata.llm._graph import components
 
 WORDS = 5
@@ -111,18 +111,32 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
             keep[1:] = got[1:] != got[:-1]
             sets[i] = got[keep]
         elif b > a:
-            whole = np.uint64(b - a)
+            whole = np.array([b - a], np.uint64)
             for w in words[a:b]:
-                whole = mix64(np.array([whole ^ w]))[0] * _STEP[1]
-            sets[i] = np.array([whole], np.uint64)
+                whole = mix64(whole ^ w) * _STEP[1]
+            sets[i] = whole
     return sets
 
 
-def set_key(s: np.ndarray) -> int:
+_OTHER = np.uint64(0xD1B54A32D192ED03)
+
+
+def first_key(s: np.ndarray) -> int:
     """A 64-bit key of a set."""
     return int(mix64(np.array([mix64(s).sum(dtype=np.uint64) ^ np.uint64(len(s))]))[0].astype(np.int64))
 
 
+def second_key(s: np.ndarray) -> int:
+    """Another one, which tells sets apart that share the first."""
+    return int(mix64(np.array([mix64(s ^ _OTHER).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64))
+
+
+def set_key(s: np.ndarray, clashing: frozenset[int]) -> int:
+    """The first key, or the second one where different sets share the first."""
+    key = first_key(s)
+    return second_key(s) if key in clashing else key
+
+
 def sketch(s: np.ndarray) -> np.ndarray:
     wide = max(SKETCH_LEAST, 1 << (2 * len(s) - 1).bit_length())
     odd = (np.bincount((s & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1).astype(np.uint8)
@@ -136,13 +150,15 @@ def _sets(df: DataFrame, fn, schema: str) -> DataFrame:
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    small_batches(df.sparkSession)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def _summaries(src: DataFrame) -> DataFrame:
-    """For each document (0, doc_id, size, key and sketch of its set); for shingles met again nearby (1, shingle, count)."""
-    schema = "kind int, one long, n long, sk long, sketch array<long>"
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    """For each document (0, doc_id, size, keys and sketch of its set); for shingles met again nearby (1, shingle, count)."""
+    schema = "kind int, one long, n long, sk long, other long, sketch array<long>"
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    names = ["kind", "one", "n", "sk", "other", "sketch"]
 
     def again(kept: list[np.ndarray]) -> pa.RecordBatch | None:
         everything = np.sort(np.concatenate(kept))
@@ -150,17 +166,17 @@ def _summaries(src: DataFrame) -> DataFrame:
         counts = np.diff(np.append(cuts, len(everything)))
         often = counts >= AGAIN
         n = int(often.sum())
-        columns = ([1] * n, everything[cuts[often]].view(np.int64), counts[often], [None] * n, [None] * n)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "one", "n", "sk", "sketch"])
+        columns = ([1] * n, everything[cuts[often]].view(np.int64), counts[often], [None] * n, [None] * n, [None] * n)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
         held = 0
         for batch in slices(batches, "text", SMALL_SLICE):
             sets = shingle_sets(batch.column(1))
-            key = [set_key(s) if len(s) else None for s in sets]
-            columns = ([0] * len(sets), batch.column(0), [len(s) for s in sets], key, [sketch(s) if len(s) else None for s in sets])
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "one", "n", "sk", "sketch"])
+            key = [first_key(s) if len(s) else None for s in sets]
+            columns = ([0] * len(sets), batch.column(0), [len(s) for s in sets], key, [second_key(s) if len(s) else None for s in sets], [sketch(s) if len(s) else None for s in sets])
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
             for k, s in zip(key, sets, strict=True):
                 if len(s) and k not in kept:
                     kept[k] = s
@@ -171,7 +187,8 @@ def _summaries(src: DataFrame) -> DataFrame:
         if kept:
             yield again(list(kept.values()))
 
-    return src.mapInArrow(run, schema)
+    small_batches(src.sparkSession)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def cheapest_boundary(sizes: dict[int, int], largest: int = LARGEST_LIGHT) -> int:
@@ -184,7 +201,7 @@ def cheapest_boundary(sizes: dict[int, int], largest: int = LARGEST_LIGHT) -> in
     return min(range(largest + 1), key=cost)
 
 
-def _proposals(src: DataFrame, hot: np.ndarray, boundary: int) -> DataFrame:
+def _proposals(src: DataFrame, hot: np.ndarray, boundary: int, clashing: frozenset[int]) -> DataFrame:
     """(light, k, sk, n, pos): subsets of light sets (pos holds the sum of both sizes), postings of heavy ones."""
     shared = src.sparkSession.sparkContext.broadcast(hot)  # at most HOT values, the most frequent last
 
@@ -195,7 +212,7 @@ def _proposals(src: DataFrame, hot: np.ndarray, boundary: int) -> DataFrame:
         done = set()
         for s in sets:
             n = len(s)
-            if not n or (key := set_key(s)) in done:
+            if not n or (key := set_key(s, clashing)) in done:
                 continue
             done.add(key)
             if n <= boundary:
@@ -203,7 +220,7 @@ def _proposals(src: DataFrame, hot: np.ndarray, boundary: int) -> DataFrame:
                 for m in partner_sizes(n):
                     need = least_overlap(n, m)
                     for c in combinations(range(n), need):
-                        whole = mix64(np.array([mixed[list(c)].sum(dtype=np.uint64) + _STEP[2] * np.uint64(n + m)]))
+                        whole = mix64(mixed[list(c)].sum(keepdims=True) + _STEP[2] * np.array([n + m], np.uint64))
                         light.append(np.ones(1, bool))
                         k.append(whole)
                         sk.append(np.array([key]))
@@ -244,7 +261,7 @@ def _near(n: str, m: str, a: str, b: str) -> Column:
     return fits & ((NUMERATOR + DENOMINATOR) * (total - apart) >= 2 * NUMERATOR * total)
 
 
-def _verified(pairs: DataFrame, src: DataFrame, classes: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, src: DataFrame, classes: DataFrame, clashing: frozenset[int]) -> DataFrame:
     """Of the pairs (a, b) of set keys those whose sets link. Reads the texts again for the sets that are asked for."""
     side = lambda x: classes.select(F.col("sk").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     near = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
@@ -259,7 +276,7 @@ def _verified(pairs: DataFrame, src: DataFrame, classes: DataFrame) -> DataFrame
     bits = src.sparkSession.sparkContext.broadcast(bitmap_filter(asked, "sk"))
 
     def fetch(_: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch | None:
-        keyed = {set_key(s): s for s in sets if len(s)}
+        keyed = {set_key(s, clashing): s for s in sets if len(s)}
         keys = np.array(list(keyed), np.int64)
         if not len(keys):
             return None
@@ -277,6 +294,11 @@ def link(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     spark = documents.sparkSession
     src = documents.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     seen = checkpointed(_summaries(src))
+    # different sets with one key, of which ten billion sets have a few, go by their second keys
+    alike = seen.where("kind = 0 and sk is not null").groupBy("sk").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi")
+    clashing = frozenset(r.sk for r in alike.select("sk").collect())
+    if clashing:
+        seen = seen.withColumn("sk", F.when(F.col("sk").isin(list(clashing)), F.col("other")).otherwise(F.col("sk")))
     rows = seen.where("kind = 0").select(F.col("one").alias("doc_id"), "n", "sk")
     counts = checkpointed(seen.where("kind = 1").groupBy("one").agg(F.sum("n").alias("n")))
     levels = {int(r.level): int(r.m) for r in counts.groupBy(F.floor(8 * F.log2("n")).alias("level")).agg(F.count("*").alias("m")).collect()}
@@ -286,7 +308,7 @@ def link(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     hot = top["one"].to_numpy()[often].view(np.uint64)
     sizes = {int(r.n): int(r.m) for r in rows.where((F.col("n") > 0) & (F.col("n") <= LARGEST_LIGHT + 4)).groupBy("n").agg(F.countDistinct("sk").alias("m")).collect()}
     parts = shuffle_partitions(spark)
-    proposals = _proposals(src.where(F.col("doc_id").isNotNull()), hot, cheapest_boundary(sizes))
+    proposals = _proposals(src.where(F.col("doc_id").isNotNull()), hot, cheapest_boundary(sizes), clashing)
     lists = checkpointed(shared_only(proposals, parts))  # lists with one set only are of no use
     light, heavy = lists.where("light"), lists.where("not light").select("k", "sk", "n", "pos")
     # light: members of one size meet a member of the other size, or, alone, the least of their own
@@ -307,7 +329,7 @@ def link(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
         ranked = open_lists.withColumn("r", F.row_number().over(each.orderBy(F.xxhash64(F.lit(turn), "sk"), "sk")))
         pivots = ranked.where(F.col("r") <= PIVOTS).select("k", F.col("sk").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("r").alias("q"))
         met = ranked.join(pivots, "k").where((F.col("r") > F.col("q")) & (F.col("c") != F.col("d")) & fits).select(F.least("sk", "other").alias("a"), F.greatest("sk", "other").alias("b"))
-        found = _verified(met if turn else met.unionByName(pairs), src, classes)
+        found = _verified(met if turn else met.unionByName(pairs), src, classes, clashing)
         links = found if links is None else links.unionByName(found)
         label = checkpointed(components(links))
         open_lists = heavy.join(label.select(F.col("node").alias("sk"), "root"), "sk", "left").withColumn("c", F.coalesce("root", "sk")).drop("root")
@@ -322,7 +344,7 @@ def link(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     right = open_lists.select("k", F.col("sk").alias("sk2"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("c").alias("d"), F.col("s").alias("s2"))
     room = 1 + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2")) - 1
     across = left.join(right, "k").where((F.col("c") != F.col("d")) & ((F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("sk") < F.col("sk2"))) & _near("n", "m", "s", "s2") & ((NUMERATOR + DENOMINATOR) * room >= NUMERATOR * (F.col("n") + F.col("m"))))
-    found = _verified(across.select(F.least("sk", "sk2").alias("a"), F.greatest("sk", "sk2").alias("b")), src, classes)
+    found = _verified(across.select(F.least("sk", "sk2").alias("a"), F.greatest("sk", "sk2").alias("b")), src, classes, clashing)
     links = links.unionByName(found)
     named = links.join(classes.select(F.col("sk").alias("a"), F.col("rep").alias("ra")), "a").join(classes.select(F.col("sk").alias("b"), F.col("rep").alias("rb")), "b")
     root = checkpointed(components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(several)))

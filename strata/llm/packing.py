@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm._common import checkpointed, map_text, shuffle_partitions, table
+from strata.llm._common import checkpointed, map_text, resident, shuffle_partitions, table, tidy
 
 CAPACITY = 2048
 GROUPS = 100
@@ -47,10 +47,11 @@ def default_vocabulary() -> str:
 
 
 class Ids:
-    """Ids of the vocabulary file's tokenizer.
+    """Ids of the vocabulary file's tokenizer, as it is loaded: strings of its special tokens get these tokens' ids.
 
     Texts whose code points all lie below U+0250 are split alike by both libraries' patterns, and the merges of
-    the file are its ranks, so the faster library encodes them; all other texts go to the file's own library.
+    the file are its ranks, so the faster library encodes them; all other texts, and those in which the string of a
+    special token stands, go to the file's own library.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,7 +59,6 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -67,7 +67,7 @@ class Ids:
         import public_tokenizers
 
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.beyond = re.compile("[^\x00-ɏ]")
+        self.beyond = re.compile("|".join(["[^\x00-ɏ]", *map(re.escape, sorted(self.special()))]))
 
     def special(self) -> set[str]:
         return {t.content for t in self.slow.get_added_tokens_decoder().values()}
@@ -80,13 +80,8 @@ class Ids:
         return self.fast.encode_to_numpy(text)
 
 
-_LOADED: dict[str, Ids] = {}
-
-
 def loaded(path: str) -> Ids:
-    if path not in _LOADED:
-        _LOADED[path] = Ids(path)
-    return _LOADED[path]
+    return resident(("packing", path), lambda: Ids(path))
 
 
 def pieces(df: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -110,7 +105,7 @@ def pieces(df: DataFrame, text: str = "text", key: str = "doc_id", capacity: int
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     src = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_text(src, "text", run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_text(src, "text", run, "doc_id long, piece int, start long, length long, ids_crc32 long", keeps=True)
 
 
 @dataclass
@@ -302,7 +297,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small
             out = [*(batch.column(i) for i in range(5)), pa.array(row[:, 2] + t // row[:, 3]), pa.array(row[:, 4] + t % row[:, 3] * length)]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

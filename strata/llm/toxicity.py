@@ -16,7 +16,9 @@ Counts of labels cover all labelled training rows.
 
 Defined cases: null and empty texts score as texts without a toxic passage; rows with a null ``doc_id`` are never
 learnt from and are scored as held out; a document with several labels counts as toxic if one of them says so;
-with no training document of one class the score is the share of toxic labels; repeated rows are scored each.
+with no training document of one class the score is the share of toxic labels; repeated rows are scored each, and
+several texts of a labelled id are learnt from as they stand; columns other than the id and the text are not read; texts
+of any length are scored whole; empty tables give a model that rejects nothing, or an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm._common import SMALL_SLICE, in_training, map_text, slices, table
+from strata.llm._common import SMALL_SLICE, give_back, in_training, map_text, slices, small_batches, table, tidy
 
 PER_CLASS = 8_000
 PRIOR = 20.0
@@ -43,7 +46,8 @@ GAP = 0.1
 SIGNIFICANT = 0.0
 REJECT = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 300_000
+#: Words that a worker remembers before it forgets all of them.
+_CACHE = 60_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -66,6 +70,9 @@ class ToxicityModel:
     def __post_init__(self) -> None:
         self.cache: dict[str, float] = {}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"cache": {}}
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         cache, scores = self.cache, self.scores
         if len(cache) > _CACHE:
@@ -180,7 +187,8 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
         got = [_shingle_key(words_of(t)) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64())], names=["doc_id", "k"])
 
-    key_of = {int(r.doc_id): int(r.k) for r in map_text(sample.select("doc_id", "text"), "text", keys, "doc_id long, k long").collect()}
+    keyed = map_text(sample.select("doc_id", "text"), "text", keys, "doc_id long, k long").groupBy("doc_id").agg(F.min("k").alias("k"))
+    key_of = {int(r.doc_id): int(r.k) for r in keyed.collect()}  # at most 2 * per_class, however often an id stands there
     size: dict[tuple[int, int], int] = defaultdict(int)
     for d, k in key_of.items():
         size[k, side_of[d]] += 1
@@ -201,7 +209,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
                         s[2] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([s[i] for s in sums.values()], pa.float64()) for i in (0, 1)), pa.array([s[2] for s in sums.values()], pa.int64())], names=["f", "clean", "toxic", "n"])
 
-    counts = sample.select("doc_id", "text").mapInArrow(count, "f string, clean double, toxic double, n long").groupBy("f").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"), F.sum("n").alias("n"))
+    counts = sample.select("doc_id", "text").mapInArrow(tidy(count), "f string, clean double, toxic double, n long").groupBy("f").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"), F.sum("n").alias("n"))
     learnt = [d for d in key_of if d not in held]
     n = [max(1e-9, sum(weight[d] for d in learnt if side_of[d] == side)) for side in (0, 1)]
     seen_often = counts.where(F.col("n") >= MIN_DOCUMENTS).toArrow()  # of the bounded sample
@@ -221,7 +229,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
                         sums[s] += w * m
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.float64()), pa.array(list(sums.values()), pa.float64())], names=["s", "w"])
 
-    spread = sample.select("doc_id", "text").mapInArrow(clean_scores, "s double, w double").groupBy("s").agg(F.sum("w").alias("w")).collect()
+    spread = sample.select("doc_id", "text").mapInArrow(tidy(clean_scores), "s double, w double").groupBy("s").agg(F.sum("w").alias("w")).collect()
     if spread:
         s, w = np.array([r.s for r in spread]), np.array([r.w for r in spread])
         top = max(model.scores.values(), default=1.0)
@@ -233,7 +241,8 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
         got = [m.evidence(m.segments(words_of(t))) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "a", "b"])
 
-    seen = [r for r in map_text(sample.select("doc_id", "text"), "text", evidence, "doc_id long, a double, b double").collect() if r.doc_id in held]
+    shown = map_text(sample.select("doc_id", "text"), "text", evidence, "doc_id long, a double, b double").groupBy("doc_id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    seen = [r for r in shown.collect() if r.doc_id in held]  # at most 2 * per_class
     picked = {side: sum(v == side for v in side_of.values()) for side in (0, 1)}
     if len({side_of[r.doc_id] for r in seen}) == 2:
         x = np.array([[1.0, r.a, r.b] for r in seen])
@@ -265,12 +274,16 @@ def score(documents: DataFrame, model: ToxicityModel, text: str = "text", key: s
 
 def probability(documents: DataFrame, model: ToxicityModel, text: str = "text") -> Column:
     """The score as a column, for filters that keep all other columns where they are."""
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
-        return pd.Series([m.probability(m.evidence(m.segments(words_of(t)))) for t in texts], dtype="float64")
+        for texts in batches:
+            yield pd.Series([m.probability(m.evidence(m.segments(words_of(t)))) for t in texts], dtype="float64")
+        m.cache.clear()
+        give_back()
 
     return of(F.col(text).cast("string"))
 

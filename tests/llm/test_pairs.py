@@ -4,9 +4,10 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from strata.llm import line_dedup, ngram_join
+from strata.llm import _graph, line_dedup, ngram_join
 from strata.llm._common import bitmap_filter, in_bitmap, shared_only
 from strata.llm._graph import components
 
@@ -22,7 +23,9 @@ def unite(parent, a, b):
     parent[max(a, b)] = min(a, b)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("held", [7, 200_000])
+def test_components(spark, monkeypatch, held):
+    monkeypatch.setattr(_graph, "EDGES", held)
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(i, i + 1) for i in range(500, 560)] + [(900, i) for i in range(800, 890)]
     parent = {}
