@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm._common import SMALL_SLICE, bitmap_filter, buffer_of, checkpointed, in_bitmap, long_run_hashes, mix64, run_hashes, seeds, shared_only, shuffle_partitions, slices, span_hashes, span_sums, table, written
-from strata.llm._graph import components
+from strata.llm._common import SMALL_SLICE, bitmap_filter, buffer_of, checkpointed, in_bitmap, mix64, seeds, shared_only, shuffle_partitions, slices, small_batches, span_digests, table, tidy, written
+from strata.llm._graph import components, dealt_anew
 
 LEAST = 20
 SHINGLE = 8
@@ -44,6 +44,8 @@ _FACTORS = (seeds(BANDS * ROWS, 11) >> np.uint64(32)).astype(np.uint32) | np.uin
 _BAND = seeds(ROWS, 12)
 _SALT = seeds(BANDS, 13)
 _BLOCK = 200
+_BASE = 0x5851F42D4C957F2D
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 class Lines:
@@ -62,72 +64,96 @@ class Lines:
         self.end[:-1][same] = self.start[1:][same] - 1
         first = np.searchsorted(self.doc, np.arange(count))
         self.number = np.arange(len(self.doc)) - first[self.doc]
-        self.places = np.flatnonzero((self.raw & 0xC0) != 0x80)  # where characters begin
-        self.first = np.searchsorted(self.places, self.start)
-        self.chars = np.searchsorted(self.places, self.end) - self.first
-        taken = self.chars >= LEAST
-        if short:
-            ink = np.concatenate(([0], np.cumsum((self.raw != 32) & ((self.raw < 9) | (self.raw > 13)), dtype=np.int32)))
-            taken |= ink[self.end] > ink[self.start]
-        for name in ("doc", "start", "end", "number", "first", "chars"):
+        if short:  # most lines show by their first byte that they are not blank
+            some = self.end > self.start
+            taken = np.zeros(len(self.doc), bool)
+            taken[some] = ~_BLANK[self.raw[self.start[some]]]
+            for i in np.flatnonzero(some & ~taken).tolist():
+                line = self.raw[self.start[i] : self.end[i]]
+                taken[i] = len(line) >= LEAST or not _BLANK[line].all()
+        else:
+            chars = np.concatenate(([0], np.cumsum((self.raw & 0xC0) != 0x80, dtype=np.int32)))
+            taken = chars[self.end] - chars[self.start] >= LEAST
+        for name in ("doc", "start", "end", "number"):
             setattr(self, name, getattr(self, name)[taken])
-        self.sums = span_sums(self.raw)
-        self.key = span_hashes(self.raw, self.start, self.end, self.sums).view(np.int64)
+        self.key, self.check = span_digests(self.raw, self.start, self.end)
 
     def only(self, chosen: np.ndarray) -> Lines:
-        for name in ("doc", "start", "end", "number", "first", "chars", "key"):
+        for name in ("doc", "start", "end", "number", "key", "check"):
             setattr(self, name, getattr(self, name)[chosen])
         return self
 
-    def shingled(self) -> Lines:
-        """The lines that hold a shingle."""
-        return self.only(self.chars >= SHINGLE)
-
     def distinct(self) -> Lines:
         return self.only(np.unique(self.key, return_index=True)[1])
 
+    def shingled(self) -> Lines:
+        """The lines that hold a shingle, with the code points of their characters."""
+        self.only(self.end - self.start >= SHINGLE)
+        view = memoryview(self.raw)
+        joined = b"\n".join([view[a:b] for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True)])
+        self.codes = np.frombuffer(joined.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        breaks = np.append(np.flatnonzero(self.codes == 10), len(self.codes))
+        self.first = np.append(0, breaks[:-1] + 1)[: len(self.key)]
+        self.chars = breaks[: len(self.key)] - self.first
+        long = self.chars >= SHINGLE
+        self.first, self.chars = self.first[long], self.chars[long]
+        return self.only(long)
+
+    def hashes(self, kind: type) -> np.ndarray:
+        """Hashes of ``SHINGLE`` characters from each place, those that run over a line's end included."""
+        out = self.codes.astype(kind)
+        width = 1
+        while width < SHINGLE:
+            out = out[:-width] + out[width:] * kind(pow(_BASE, width, 1 << 8 * np.dtype(kind).itemsize))
+            width *= 2
+        return out
+
     def text(self, i: int) -> str:
         return self.raw[self.start[i] : self.end[i]].tobytes().decode()
 
-    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
-        """(32-bit hashes of the shingles of all lines, where each line's begin, and the end)."""
-        counts = self.chars - SHINGLE + 1
-        cuts = np.concatenate(([0], np.cumsum(counts)))
-        at = np.arange(cuts[-1]) + np.repeat(self.first - cuts[:-1], counts)
-        return run_hashes(np.append(self.places, len(self.raw)), SHINGLE, self.sums)[at], cuts
-
     def sketches(self) -> tuple[np.ndarray, np.ndarray]:
         """(number of distinct shingles, their parity on each bit as rows of 64-bit words) of all lines."""
-        hashes, cuts = self.shingles()
-        owner = np.repeat(np.arange(len(self.key), dtype=np.uint64) << np.uint64(32), np.diff(cuts))
-        tagged = np.sort(owner | hashes)
-        fresh = np.ones(len(tagged), bool)
-        fresh[1:] = tagged[1:] != tagged[:-1]
-        tagged = tagged[fresh]
-        line = (tagged >> np.uint64(32)).astype(np.int64)
-        place = line * SKETCH + ((tagged >> np.uint64(7)) & np.uint64(SKETCH - 1)).astype(np.int64)
-        odd = (np.bincount(place, minlength=len(self.key) * SKETCH) & 1).astype(np.uint8)
-        return np.bincount(line, minlength=len(self.key)), np.packbits(odd).view(np.int64).reshape(len(self.key), SKETCH // 64)
+        hashes, counts, count = self.hashes(np.uint32), self.chars - SHINGLE + 1, len(self.key)
+        sizes, words = np.empty(count, np.int64), np.empty((count, SKETCH // 64), np.int64)
+        for i in range(0, count, _BLOCK):  # blocks, so that the counts of all bits are never held together
+            j = min(count, i + _BLOCK)
+            some = counts[i:j]
+            at = np.arange(some.sum()) + np.repeat(self.first[i:j] - np.cumsum(some) + some, some)
+            owner = np.repeat(np.arange(j - i, dtype=np.uint64) << np.uint64(32), some)
+            tagged = np.sort(owner | hashes[at])
+            fresh = np.ones(len(tagged), bool)
+            fresh[1:] = tagged[1:] != tagged[:-1]
+            tagged = tagged[fresh]
+            line = (tagged >> np.uint64(32)).astype(np.int64)
+            place = line * SKETCH + ((tagged >> np.uint64(7)) & np.uint64(SKETCH - 1)).astype(np.int64)
+            odd = (np.bincount(place, minlength=(j - i) * SKETCH) & 1).astype(np.uint8)
+            sizes[i:j] = np.bincount(line, minlength=j - i)
+            words[i:j] = np.packbits(odd).view(np.int64).reshape(j - i, SKETCH // 64)
+        return sizes, words
 
     def sets(self) -> list[np.ndarray]:
         """Sorted distinct 64-bit hashes of the shingles of each line."""
-        every = long_run_hashes(np.append(self.places, len(self.raw)), SHINGLE, self.sums)
+        every = self.hashes(np.uint64)
         return [np.unique(every[i : i + n]) for i, n in zip(self.first.tolist(), (self.chars - SHINGLE + 1).tolist(), strict=True)]
 
     def bands(self) -> np.ndarray:
         """One 64-bit key a line and band."""
-        hashes, cuts = self.shingles()
-        counts = np.diff(cuts)
-        least = np.empty((BANDS * ROWS, len(counts)), np.uint32)
-        for i in range(0, len(counts), _BLOCK):  # blocks that stay in the processor's cache
-            j = min(len(counts), i + _BLOCK)
-            part, starts = hashes[cuts[i] : cuts[j]], cuts[i:j] - cuts[i]
+        hashes, count = np.append(self.hashes(np.uint32), np.uint32(0)), len(self.key)
+        keys = np.zeros((BANDS, count), np.uint64)
+        least = np.empty((BANDS * ROWS, _BLOCK), np.uint32)
+        for i in range(0, count, _BLOCK):  # blocks that stay in the processor's cache
+            j = min(count, i + _BLOCK)
+            begin, end = self.first[i], self.first[j - 1] + self.chars[j - 1] - SHINGLE + 1
+            part = hashes[begin : end + 1]
+            bounds = np.empty(2 * (j - i), np.int64)  # a line's shingles, and what lies between lines, in turn
+            bounds[::2] = self.first[i:j] - begin
+            bounds[1::2] = bounds[::2] + self.chars[i:j] - SHINGLE + 1
             for k, factor in enumerate(_FACTORS):
-                np.minimum.reduceat(part * factor, starts, out=least[k, i:j])
-        keys = np.zeros((BANDS, len(counts)), np.uint64)
+                least[k, : j - i] = np.minimum.reduceat(part * factor, bounds)[::2]
+            for b in range(BANDS):
+                for r in range(ROWS):
+                    keys[b, i:j] += least[b * ROWS + r, : j - i].astype(np.uint64) * _BAND[r]
         for b in range(BANDS):
-            for r in range(ROWS):
-                keys[b] += least[b * ROWS + r].astype(np.uint64) * _BAND[r]
             keys[b] = mix64(keys[b] + _SALT[b])
         return keys.view(np.int64)
 
@@ -147,36 +173,36 @@ def _mapped(src: DataFrame, fn, schema: str, short: bool) -> DataFrame:
             if out is not None and out.num_rows:
                 yield out
 
-    return src.mapInArrow(run, schema)
+    small_batches(src.sparkSession)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def _occurrences(batch: pa.RecordBatch, lines: Lines) -> pa.RecordBatch:
     doc = pa.array(lines.doc)
-    return pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(lines.number.astype(np.int32)), pa.array(lines.key)], names=["o", "row", "line", "sk"])
+    return pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(lines.number.astype(np.int32)), pa.array(lines.key), pa.array(lines.check)], names=["o", "row", "line", "sk", "check"])
 
 
 def _buckets(_: pa.RecordBatch, lines: Lines) -> pa.RecordBatch | None:
-    lines = lines.shingled().distinct()
+    lines = lines.distinct().shingled()
     if not len(lines.key):
         return None
     return pa.RecordBatch.from_arrays([pa.array(lines.bands().ravel()), pa.array(np.tile(lines.key, BANDS))], names=["k", "sk"])
 
 
 def _known(src: DataFrame, asked: DataFrame, short: bool) -> DataFrame:
-    """(sk, n, s, t): size, sketch and text of the lines that are asked for."""
+    """(sk, check, n, s, t): second half of the hash, size, sketch and text of the lines that are asked for."""
     bits = src.sparkSession.sparkContext.broadcast(bitmap_filter(asked, "sk"))
 
     def fetch(_: pa.RecordBatch, lines: Lines) -> pa.RecordBatch | None:
-        lines = lines.shingled()
-        lines = lines.only(in_bitmap(bits.value, lines.key.view(np.uint64))).distinct()
+        lines = lines.only(in_bitmap(bits.value, lines.key.view(np.uint64))).distinct().shingled()
         if not len(lines.key):
             return None
         texts = pa.array([lines.text(i) for i in range(len(lines.key))], pa.string())
         sizes, sketches = lines.sketches()
         words = pa.ListArray.from_arrays(pa.array(np.arange(len(lines.key) + 1) * (SKETCH // 64), pa.int32()), pa.array(sketches.ravel()))
-        return pa.RecordBatch.from_arrays([pa.array(lines.key), pa.array(sizes.astype(np.int32)), words, texts], names=["sk", "n", "s", "t"])
+        return pa.RecordBatch.from_arrays([pa.array(lines.key), pa.array(lines.check), pa.array(sizes.astype(np.int32)), words, texts], names=["sk", "check", "n", "s", "t"])
 
-    found = _mapped(src, fetch, "sk long, n int, s array<long>, t string", short).join(asked.distinct(), "sk", "left_semi")
+    found = _mapped(src, fetch, "sk long, check long, n int, s array<long>, t string", short).join(asked.distinct(), "sk", "left_semi")
     return written(found.dropDuplicates(["sk"]))
 
 
@@ -207,11 +233,11 @@ def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
         for batch in slices(batches, "ta", 1 << 18):
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             texts = list(dict.fromkeys(a + b))
-            number = dict(zip(texts, Lines(pa.array(texts, pa.string()), True).sets(), strict=True))  # each text is one line
+            number = dict(zip(texts, Lines(pa.array(texts, pa.string()), True).shingled().sets(), strict=True))  # each text is one line
             keep = [similar(number[x], number[y]) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return checkpointed(both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"))
+    return checkpointed(both.select("a", "b", "ta", "tb").mapInArrow(tidy(check), "a long, b long"))
 
 
 def _several(lists: DataFrame, column: str) -> DataFrame:
@@ -221,7 +247,7 @@ def _several(lists: DataFrame, column: str) -> DataFrame:
 
 
 def classes(src: DataFrame, short: bool = False) -> DataFrame:
-    """(sk, root) of the lines that are similar to another one."""
+    """(sk, check, root) of the lines that are similar to another one."""
     buckets = checkpointed(shared_only(_mapped(src, _buckets, "k long, sk long", short), shuffle_partitions(src.sparkSession)))
     known = _known(src, buckets.select("sk"), short)
     other = lambda df, *more: df.select("k", F.col("sk").alias("sk2"), F.col("c").alias("d"), *more)
@@ -245,7 +271,8 @@ def classes(src: DataFrame, short: bool = False) -> DataFrame:
     more = _verified(across, known)
     if not more.isEmpty():
         label = checkpointed(components(links.unionByName(more)))
-    return label.select(F.col("node").alias("sk"), "root")
+    # another line with the same first half of the hash is none of these
+    return label.select(F.col("node").alias("sk"), "root").join(known.select("sk", "check"), "sk")
 
 
 def dedup(documents: DataFrame, text: str = "text", key: str = "doc_id", short: bool = False) -> DataFrame:
@@ -255,14 +282,16 @@ def dedup(documents: DataFrame, text: str = "text", key: str = "doc_id", short:
     row = F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string"))
     order = F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))
     src = documents.where(F.col(text).isNotNull()).select(order.alias("o"), row.alias("row"), F.col(text).cast("string").alias("text"))
-    seen = written(_mapped(src, _occurrences, "o long, row long, line int, sk long", short))
-    root = classes(src, short)
+    seen = written(_mapped(src, _occurrences, "o long, row long, line int, sk long, check long", short))
+    line = ["sk", "check"]
+    root = checkpointed(classes(src, short))
     place = F.struct("o", "row", "line")
     # only lines that stand several times, or have similar ones, are ordered
-    again = seen.groupBy("sk").agg(F.count("*").alias("n")).where("n > 1").select("sk").join(root, "sk", "left_anti").select("sk", F.col("sk").alias("class"))
-    held = seen.join(root.select("sk", F.col("root").alias("class")).unionByName(again), "sk").drop("sk")
-    first = held.groupBy("class").agg(F.min(place).alias("keep"))
-    gone = held.join(first, "class").where(place != F.col("keep")).groupBy("o", "row").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
+    again = seen.groupBy(line).agg(F.count("*").alias("n")).where("n > 1").select(line).join(root, line, "left_anti").select(*line, F.col("sk").alias("class"), F.col("check").alias("apart"))
+    known = root.select(*line, F.col("root").alias("class"), F.lit(0).cast("long").alias("apart")).unionByName(again)
+    held = checkpointed(seen.join(known, line).drop(*line))
+    first = dealt_anew(held.groupBy("class", "apart").agg(F.min(place).alias("keep")), "class")
+    gone = held.join(first, ["class", "apart"]).where(place != F.col("keep")).groupBy("o", "row").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
     gone = gone.withColumnRenamed("o", "__line_o").withColumnRenamed("row", "__line_row").withColumnRenamed("dropped", "__line_dropped")
     out = documents.drop("n_lines", "n_long", "dropped").withColumn("__line_o", order).withColumn("__line_row", row).join(gone, ["__line_o", "__line_row"], "left").drop("__line_o", "__line_row")
     out = out.withColumn("dropped", F.coalesce("__line_dropped", F.array().cast("array<int>"))).drop("__line_dropped")
