@@ -8,6 +8,7 @@ return the columns of their input.  ``run`` writes each stage's rows as Parquet
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +31,9 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go, and documents of which that leaves no more than white space."""
     ship(spark)
-    columns = docs.columns
-    out = line_dedup.dedup(docs, short=True).where((F.size("dropped") == 0) | F.col("text").rlike(r"[^\t\n\x0B\f\r ]"))
-    return _measured(out, columns)
+    aside, back = _set_aside(docs, {"n_lines", "n_long", "dropped"})
+    out = line_dedup.dedup(aside, short=True).where((F.size("dropped") == 0) | F.col("text").rlike(r"[^\t\n\x0B\f\r ]"))
+    return _measured(back(out), docs.columns)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +46,9 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in place; every document stays."""
     ship(spark)
-    columns = docs.columns
-    names = {"n_assign", "n_access", "n_hex", "n_random", "spans", "base_spans"}
-    clash = {c: f"_kept_{c}" for c in columns if c in names}
-    out = secrets.scan(docs.withColumnsRenamed(clash)).withColumn("text", secrets.masked("text", "spans"))
-    return _measured(out.drop(*names).withColumnsRenamed({v: k for k, v in clash.items()}), columns)
+    aside, back = _set_aside(docs, {"n_assign", "n_access", "n_hex", "n_random", "spans", "base_spans"})
+    out = secrets.scan(aside).withColumn("text", secrets.masked("text", "spans"))
+    return _measured(back(out), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +57,12 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs))
 
 
+def _set_aside(docs: DataFrame, names: set[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The documents with columns of these names renamed, and what gives these their names again."""
+    kept = {c: f"__kept_{c}" for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed(kept), lambda df: df.drop(*names).withColumnsRenamed({v: k for k, v in kept.items()})
+
+
 def _measured(df: DataFrame, columns: list[str]) -> DataFrame:
     if "n_chars" in columns:
         df = df.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
