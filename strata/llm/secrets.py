@@ -14,13 +14,14 @@ The Benjamini-Hochberg rule at rate ``RATE`` is applied within bands of length,
 needs counts of p-values in bins only, a table of fixed size, and a bin counts with its larger edge.
 
 Spans are in code points, end exclusive; within a kind they are leftmost and do not overlap; ``random`` spans do not
-overlap others.  Defined cases: null and empty texts have no spans; repeated rows are scanned each; other columns
+overlap others.  Texts of any length are scanned whole, in time that grows with n log n.  Defined cases: null and empty texts have no spans; repeated rows are scanned each; other columns
 pass through, but ones named as the results are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,24 +58,45 @@ VETO = 0.001
 RATE = 0.01
 BIN = 0.05
 BINS = 400
+#: Code points of the blocks from which a masked text is put together.
+BLOCK = 1024
 
 
-def _places(text: Column, pattern: str, whole: Column) -> Column:
-    """Starts of the matches, from the lengths of the matches and of what lies between them."""
-    between = F.split(text, pattern, -1)
-    step = F.zip_with(F.slice(between, 1, F.size(whole)), whole, lambda b, w: F.struct(F.length(b).alias("b"), F.length(w).alias("w")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(step, start, lambda acc, x: F.struct((acc["at"] + x["b"] + x["w"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x["b"])).alias("out")), lambda acc: acc["out"])
+def _bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)``, with the value computed once, however often ``fn`` names it."""
+    return F.transform(F.array(value), fn)[0]
 
 
-def _spans(text: Column, pattern: str, kind: int, filters: str, group: int = 0, least: int = 0) -> Column:
-    """Array of (start, kind, end); ``filters`` is a cheap pattern that every text with a span of the kind matches."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    found = F.arrays_zip(_places(text, pattern, whole).alias("s"), whole.alias("w"), inner.alias("g"))
-    kept = F.filter(found, lambda x: F.length(x["g"]) >= least)
-    spans = F.transform(kept, lambda x: F.struct(x["s"].alias("start"), F.lit(kind).alias("kind"), (x["s"] + F.length(x["w"])).alias("end")))
-    return F.when(text.rlike(filters), spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+def _power(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), k)
+
+
+def _running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array under an associative ``add``, by doubling: n log n steps, no growing array."""
+
+    def totals(v: Column) -> Column:
+        turns = F.sequence(F.lit(0), F.ceil(F.log2(F.size(v).cast("double"))).cast("int") - 1)
+        return F.when(F.size(v) > 1, F.aggregate(turns, v, lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= _power(k), add(F.get(acc, i - _power(k)), x)).otherwise(x)))).otherwise(v)
+
+    return _bound(values, totals)
+
+
+def _spans(text: Column, pattern: str, kind: int, filters: str, group: int = 0, least: int = 0, words: bool = False) -> Column:
+    """Array of (start, kind, end), and the match if ``words``; ``filters`` is a cheap pattern that every text with a span matches."""
+    state = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("w"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"),
+        F.split(text, pattern, -1).alias("between"),
+    )
+
+    def found(m: Column) -> Column:
+        ends = _running(F.zip_with(F.slice(m["between"], 1, F.size(m["w"])), m["w"], lambda x, w: F.length(x) + F.length(w)), lambda x, y: x + y)
+        return F.arrays_zip(ends.alias("e"), m["w"].alias("w"), m["g"].alias("g"))
+
+    kept = F.filter(_bound(state, found), lambda x: F.length(x["g"]) >= least)
+    more = lambda x: [x["w"].alias("word")] if words else []
+    spans = F.transform(kept, lambda x: F.struct((x["e"] - F.length(x["w"])).alias("start"), F.lit(kind).alias("kind"), x["e"].alias("end"), *more(x)))
+    return F.when(text.rlike(filters), spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int" + (",word:string" if words else "") + ">>"))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -153,11 +175,17 @@ def _bins(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("__secret_text", t)
     base = base_spans(F.col("__secret_text"))
     df = df.withColumns({f"__secret_{k}": v for k, v in base.items()})
-    tokens = _spans(F.col("__secret_text"), TOKEN, 3, TOKEN)
-    taken = F.concat("__secret_assign", "__secret_access", "__secret_hex")
-    apart = F.filter(tokens, lambda x: ~F.exists(taken, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    df = df.withColumn("__secret_candidates", apart)
-    level = lambda x: F.least(F.floor(-F.log10(p_value(F.substring(F.col("__secret_text"), x["start"] + 1, x["end"] - x["start"]))) / BIN), F.lit(BINS - 1)).cast("int")
+    tokens = _spans(F.col("__secret_text"), TOKEN, 3, TOKEN, words=True)
+    taken = F.array_sort(F.concat("__secret_assign", "__secret_access", "__secret_hex"))
+
+    def apart(s: Column) -> Column:
+        """The tokens that no base span reaches into: how many start before a token's end is found by halving."""
+        before = lambda x: F.aggregate(F.sequence(F.lit(24), F.lit(0)), F.lit(0), lambda at, k: F.when(F.get(s["taken"], at + _power(k) - 1)["start"] < x["end"], at + _power(k)).otherwise(at))
+        return F.filter(s["tokens"], lambda x: ~F.coalesce(F.get(s["reach"], before(x) - 1) > x["start"], F.lit(False)))
+
+    both = _bound(F.struct(tokens.alias("tokens"), taken.alias("taken")), lambda s: F.struct(s["tokens"].alias("tokens"), s["taken"].alias("taken"), _running(F.transform(s["taken"], lambda y: y["end"]), F.greatest).alias("reach")))
+    df = df.withColumn("__secret_candidates", _bound(both, lambda s: F.when((F.size(s["tokens"]) > 0) & (F.size(s["taken"]) > 0), apart(s)).otherwise(s["tokens"])))
+    level = lambda x: F.least(F.floor(-F.log10(p_value(x["word"])) / BIN), F.lit(BINS - 1)).cast("int")
     band = lambda x: F.floor(2 * F.log2((x["end"] - x["start"]).cast("double"))).cast("int")
     return df.withColumn("__secret_tested", F.transform("__secret_candidates", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), band(x).alias("band"), level(x).alias("bin"))))
 
@@ -197,16 +225,23 @@ def shown(spans: str) -> Column:
 
 
 def masked(text: str, spans: str, mask: str = "[secret]") -> Column:
-    """The text with every span, overlapping ones together, replaced."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        fresh = F.concat(a["out"], F.substring(t, a["at"] + 1, x["start"] - a["at"]), F.lit(mask))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"))
-
-    done = F.aggregate(F.col(spans), state, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    return F.when(F.size(spans) > 0, done).otherwise(F.col(text))
+    """The text with every span, overlapping ones together, replaced; time is linear in the text."""
+    blocks = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    state = F.struct(blocks.alias("b"), _running(F.transform(spans, lambda x: x["end"]), F.greatest).alias("r"), F.col(spans).alias("s"))
+
+    def part(b: Column, start: Column, stop: Column) -> Column:
+        """Characters from ``start`` to ``stop`` by the blocks that hold them."""
+        first = F.floor(start / BLOCK).cast("int")
+        some = F.array_join(F.slice(b, first + 1, F.floor(stop / BLOCK).cast("int") - first + 1), "")
+        return F.substring(some, start - first * BLOCK + 1, stop - start)
+
+    def replaced(s: Column) -> Column:
+        last = lambda i: F.coalesce(F.get(s["r"], i - 1), F.lit(0))
+        pieces = F.transform(s["s"], lambda x, i: F.when((i == 0) | (x["start"] >= last(i)), F.concat(part(s["b"], last(i), x["start"]), F.lit(mask))).otherwise(F.lit("")))
+        rest = part(s["b"], F.element_at(s["r"], -1), F.lit(BLOCK) * F.size(s["b"]))
+        return F.concat(F.array_join(pieces, ""), rest)
+
+    return F.when(F.size(spans) > 0, _bound(state, replaced)).otherwise(F.col(text))
 
 
 def op2_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
