@@ -113,3 +113,20 @@ def decode_pairs(payload: Column) -> Column:
         return both[0]
 
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(1))), start, step, lambda a: a["out"])).otherwise(start["out"])
+
+
+def url_escape(text: Column) -> Column:
+    """Percent-encoding of all but unreserved characters."""
+    out = F.url_encode(text)
+    for old, new in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
+def url_unescape(text: Column) -> Column:
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def digits_only(text: Column) -> Column:
+    """True for texts of ASCII digits alone; the empty text is none."""
+    return text.rlike("^[0-9]+$")

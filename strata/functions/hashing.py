@@ -71,6 +71,20 @@ def crc32c(data: Column) -> Column:
     return folded.bitwiseXOR(F.lit(_MASK))
 
 
+def fnv1a_64(text: Column) -> Column:
+    """The 64-bit hash as an unsigned decimal. It is held as two words of 32 bits; the prime is 2**40 + 435."""
+    octets = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.hex(F.substring(F.encode(text, "UTF-8"), i, F.lit(1))), 16, 10).cast("long"))
+    octets = F.when(F.octet_length(text) > 0, octets).otherwise(F.array().cast("array<long>"))
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
+
+    def step(h: Column, c: Column) -> Column:
+        low = h["lo"].bitwiseXOR(c)
+        high = F.shiftright(low * 435, 32) + h["hi"] * 435 + F.shiftleft(low, 8)
+        return F.struct(high.bitwiseAND(F.lit(_MASK)).alias("hi"), (low * 435).bitwiseAND(F.lit(_MASK)).alias("lo"))
+
+    return F.aggregate(octets, start, step, lambda h: h["hi"].cast("decimal(20,0)") * F.lit(1 << 32) + h["lo"])
+
+
 def filter_size(keys: Column, rate: Column) -> tuple[Column, Column, Column]:
     """(bits, hash functions, false-positive rate) of the textbook filter for a number of keys and a wanted rate."""
     bits = F.ceil(-keys * F.log(rate) / F.pow(F.log(F.lit(2.0)), 2.0))

@@ -86,3 +86,24 @@ def retryable(status: Column) -> Column:
 def backoff_ms(attempt: Column) -> Column:
     """Wait before a retry, without its jitter."""
     return (F.pow(F.lit(2.0), attempt) * 100).cast("long")
+
+
+#: Columns that listings never show.
+SECRETS = ("key_hash", "password_hash", "secret")
+
+
+def public(rows: DataFrame) -> DataFrame:
+    """Rows of users or keys without their secrets."""
+    return rows.drop(*(c for c in rows.columns if c in SECRETS))
+
+
+def current(log: DataFrame, key: str) -> DataFrame:
+    """The newest version of each user or key of a log (key, version, op, ...), unless it is a delete or a revocation."""
+    order = Window.partitionBy(key).orderBy(F.desc("version"))
+    return log.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r").where(~F.col("op").isin("delete", "revoke"))
+
+
+def collection_counts(catalog: DataFrame, rows: DataFrame) -> DataFrame:
+    """(name, n_keys) of each collection of a catalogue log, those without rows (name, ...) too."""
+    counts = rows.groupBy("name").agg(F.count("*").alias("n_keys"))
+    return collections(catalog).select("name").join(counts, "name", "left").select("name", F.coalesce("n_keys", F.lit(0)).alias("n_keys"))

@@ -101,3 +101,11 @@ def write_run(run: DataFrame, path: str, partitions: int, compression: str = "zs
     """Write a run sorted by key and age, with key bounds and a key filter in its footers for later pruning."""
     ordered = run.repartitionByRange(partitions, "user_key").sortWithinPartitions("user_key", F.desc("seq"), "vtype")
     ordered.write.mode("errorifexists").option("compression", compression).option("parquet.bloom.filter.enabled#user_key", "true").parquet(path)
+
+
+def manifest_snapshot(edits: DataFrame) -> DataFrame:
+    """The edits that say the same as all before them: a reset, then an addition of each live file."""
+    last = edits.agg(F.max("edit_no").alias("_last"))  # one row
+    reset = last.select((F.col("_last") + 1).alias("edit_no"), F.lit("reset").alias("type"), F.lit(0).cast("long").alias("level"), F.lit(-1).cast("long").alias("file_no"))
+    adds = manifest_live(edits).crossJoin(F.broadcast(last)).select((F.col("_last") + 2).alias("edit_no"), F.lit("add").alias("type"), F.col("level").cast("long").alias("level"), F.col("file_no").cast("long").alias("file_no"))
+    return reset.unionByName(adds)

@@ -50,6 +50,11 @@ def range_scan(log: DataFrame, start: str = "", end: str = "", snapshot: int | N
     return latest_live(log, snapshot)
 
 
+def ordered_scan(log: DataFrame, start: str = "", end: str = "", snapshot: int | None = None) -> DataFrame:
+    """The range in the order of the keys' bytes; the sort is by ranges of keys, none of which takes all rows."""
+    return range_scan(log, start, end, snapshot).orderBy("user_key")
+
+
 def prefix_scan(log: DataFrame, prefix: str, snapshot: int | None = None) -> DataFrame:
     return latest_live(log.where(F.startswith("user_key", F.lit(prefix))), snapshot)
 

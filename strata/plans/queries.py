@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions import codec, hashing
-from strata.operators import access, maintenance, metrics, placement, reads, stateful
+from strata.operators import access, maintenance, metrics, placement, reads, stateful, writes
 from strata.views import kv_log
 
 SNAPSHOT = 5000
@@ -506,3 +506,82 @@ def _(s, d):
 def _(s, d):
     votes = s.read.parquet(f"{d}/events.parquet").select(F.floor(F.col("event_id") / 5).alias("term"), F.col("event_type").isin("click", "view", "signup").cast("int").alias("ok"))
     return votes.groupBy("term").agg(F.count("*").alias("votes"), (F.sum("ok") >= F.floor(F.count("*") / 2) + 1).alias("elected"))
+
+
+@query("ordered_scan", f"select user_key, seq, value from {_newest('log')} where vtype = 1 and user_key >= 'u00000010' order by user_key")
+def _(s, d):
+    return reads.ordered_scan(_log(s, d), "u00000010").select(*_KV)
+
+
+_WRITTEN = """(select user_key, seq, vtype, value from log union all
+  select 'u' || lpad(cast(c_custkey as varchar), 8, '0'), (select max(seq) from log) + c_custkey, case when c_custkey % 3 = 0 then 2 else 1 end, case when c_custkey % 3 = 0 then '' else c_name end from customer)"""
+
+
+@query("put_delete", f"select user_key, seq, value from {_newest(_WRITTEN)} where vtype = 1")
+def _(s, d):
+    op = F.when(F.col("c_custkey") % 3 == 0, "delete").otherwise("put")
+    batch = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("pos"), op.alias("op"), F.concat(F.lit("u"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("user_key"), F.col("c_name").alias("value"))
+    return reads.latest_live(writes.append(_log(s, d), batch)).select(*_KV)
+
+
+@query("manifest_snapshot", f", edits as {_EDITS}, live as (select *, row_number() over (partition by level, file_no order by edit_no desc) as r from edits where type <> 'reset' and edit_no > (select max(edit_no) from edits where type = 'reset')) "
+    "select (select max(edit_no) from edits) + 2 as edit_no, 'add' as type, cast(level as bigint) as level, file_no from live where r = 1 and type = 'add' union all select max(edit_no) + 1, 'reset', cast(0 as bigint), cast(-1 as bigint) from edits")
+def _(s, d):
+    runs = _log(s, d).select(F.floor(F.col("seq") / 100).cast("long").alias("run_id")).distinct()
+    edit = lambda df, number, kind: df.select(number.alias("edit_no"), F.lit(kind).alias("type"), F.lit(0).cast("long").alias("level"), F.col("run_id").alias("file_no"))
+    edits = edit(runs, F.col("run_id") * 2, "add").unionByName(edit(runs.where("run_id % 3 = 0"), F.col("run_id") * 2 + 21, "del"))
+    return maintenance.manifest_snapshot(edits.unionByName(s.createDataFrame([(51, "reset", 0, -1)], "edit_no long, type string, level long, file_no long")))
+
+
+@query("collection_counts", f"select c.name, count(x.c_custkey) as n_keys from (select *, row_number() over (partition by name order by version desc) as r from {_CATALOG}) c left join (select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey) x on x.n_name = c.name where r = 1 and op <> 'delete' group by c.name")
+def _(s, d):
+    nation = s.read.parquet(f"{d}/nation.parquet")
+    entry = lambda df, version, op: df.select(F.col("n_name").alias("name"), F.lit(version).alias("version"), F.lit(op).alias("op"))
+    log = entry(nation, 1, "create").unionByName(entry(nation.where("n_nationkey % 2 = 0"), 2, "update")).unionByName(entry(nation.where("n_nationkey % 5 = 0"), 3, "delete"))
+    rows = s.read.parquet(f"{d}/customer.parquet").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"))
+    return access.collection_counts(log, rows)
+
+
+@query("apikey_list", "select c_custkey as key_id, cast(case when c_custkey % 4 = 0 then 2 else 1 end as bigint) as version, c_name as name from customer where c_custkey % 6 <> 0")
+def _(s, d):
+    customers = s.read.parquet(f"{d}/customer.parquet")
+    version = lambda df, number, op: df.select(F.col("c_custkey").alias("key_id"), F.lit(number).cast("long").alias("version"), F.lit(op).alias("op"), F.col("c_name").alias("name"), F.sha2(F.col("c_name").cast("binary"), 256).alias("key_hash"))
+    log = version(customers, 1, "issue").unionByName(version(customers.where("c_custkey % 4 = 0"), 2, "rename")).unionByName(version(customers.where("c_custkey % 6 = 0"), 3, "revoke"))
+    return access.public(access.current(log, "key_id")).drop("op")
+
+
+@query("url_codec", "select seq, url_encode(value) as escaped, value as plain from log")
+def _(s, d):
+    return _log(s, d).select("seq", codec.url_escape(F.col("value")).alias("escaped")).withColumn("plain", codec.url_unescape(F.col("escaped")))
+
+
+@query("base64_values", "select seq, to_base64(encode(value)) as encoded, value as decoded from log")
+def _(s, d):
+    return _log(s, d).select("seq", F.base64(F.col("value").cast("binary")).alias("encoded")).withColumn("decoded", F.unbase64("encoded").cast("string"))
+
+
+@query("text_tools", "select p_partkey, lower(p_name) as lowered, trim('  ' || p_name || ' ') as trimmed, regexp_matches(cast(p_size as varchar), '^[0-9]+$') as size_digits, regexp_matches(p_brand, '^[0-9]+$') as brand_digits from part")
+def _(s, d):
+    name = F.col("p_name")
+    return s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.lower(name).alias("lowered"), F.trim(F.concat(F.lit("  "), name, F.lit(" "))).alias("trimmed"), codec.digits_only(F.col("p_size").cast("string")).alias("size_digits"), codec.digits_only(F.col("p_brand")).alias("brand_digits"))
+
+
+@query("fnv64_hash", f"select user_key, cast(list_reduce(list_prepend(cast(14695981039346656037 as hugeint), list_transform(range(1, strlen(user_key) + 1), lambda i: cast(ascii(substring(user_key, i, 1)) as hugeint))), lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616) as varchar) as hash from {_KEYS_SQL}")
+def _(s, d):
+    return _keys(s, d).select("user_key", hashing.fnv1a_64(F.col("user_key")).cast("decimal(20,0)").cast("string").alias("hash"))
+
+
+@query("health_transitions", ", p as (select user_id as upstream, event_id as probe_no, event_type <> 'error' as ok from events), "
+    "g as (select *, row_number() over (partition by upstream order by probe_no) - row_number() over (partition by upstream, ok order by probe_no) as g from p), "
+    "n as (select *, row_number() over (partition by upstream, ok, g order by probe_no) as r from g), f as (select *, case when ok and r >= 2 then true when not ok and r >= 3 then false end as flip from n) "
+    "select upstream, probe_no, coalesce(last_value(flip ignore nulls) over (partition by upstream order by probe_no), true) as healthy from f")
+def _(s, d):
+    probes = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("upstream"), F.col("event_id").alias("at"), (F.col("event_type") != "error").alias("ok"))
+    return stateful.probe_health(probes, down_after=3, up_after=2).select("upstream", F.col("at").alias("probe_no"), "healthy")
+
+
+@query("admission_cap", "select event_id, inflight <= 5 as admitted from (select event_id, sum(case when event_type in ('click', 'view') then 1 else -1 end) over (partition by user_id % 8 order by event_id) as inflight from events)")
+def _(s, d):
+    step = F.when(F.col("event_type").isin("click", "view"), 1).otherwise(-1)
+    steps = s.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("user_id") % 8).alias("pool"), F.col("event_id").alias("at"), step.alias("step"))
+    return metrics.inflight(steps, 5).select("event_id", "admitted")
