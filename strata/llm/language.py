@@ -12,10 +12,11 @@ parsed whole, in blocks of ``BLOCK`` characters that each start a phrase.
 Learning is from at most ``SAMPLE_TEXTS`` different texts of a language, those with the smallest hashes in
 ``BUCKETS`` buckets, and at most
 ``SAMPLE_CHARS`` normalised characters of them (fewer if there are so many languages that the tables would pass
-``TABLE_CHARS`` together).  Normalised: lower case, every run of non-letters one space.
+``TABLE_CHARS`` together), shared evenly by all these texts; of a long text a window at a hashed place is taken.  Normalised: lower case, every run of non-letters one space.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows without ``lang`` or ``doc_id`` are
-not learnt from; with nothing to learn from every row is ``und``; repeated rows are predicted each.
+not learnt from; with nothing to learn from every row is ``und``; repeated rows are predicted each; texts of any
+length are parsed whole; columns other than those named are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm._common import in_training, map_text, table
+from strata.llm._common import in_training, map_text, resident, table
 
 SAMPLE_TEXTS = 96
 BUCKETS = 32
@@ -157,14 +158,20 @@ class _Parser:
         return names, [float(s) if n else 0.0 for s, n in zip(sure, letters, strict=True)]
 
 
-_BUILT: dict[LanguageModel, _Parser] = {}
+def _parser(model: LanguageModel) -> _Parser:
+    return resident(("language", model), lambda: _Parser(model))
 
 
-def _parser(model: LanguageModel) -> _Parser:
-    if model not in _BUILT:
-        _BUILT.clear()
-        _BUILT[model] = _Parser(model)
-    return _BUILT[model]
+def _shares(texts: list[str], budget: int) -> list[str]:
+    """Of each text as much as its share of the budget, what short texts leave going to longer ones; from its middle."""
+    out, left = {}, budget
+    for n, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        share = left // (len(texts) - n)
+        take = min(len(texts[i]), max(0, share - 1))
+        start = (len(texts[i]) - take) // 2
+        out[i] = texts[i][start : start + take]
+        left -= take + 1
+    return [out[i] for i in range(len(texts)) if out[i]]
 
 
 def fit(documents: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
@@ -180,15 +187,16 @@ def fit(documents: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: in
     if not picked:
         return LanguageModel(())
     ids = F.broadcast(spark.createDataFrame(picked, "doc_id long, lang string, h long"))
-    cut = F.substring("text", 1, 4 * sample_chars)  # of a training text no more than the sample could take
-    rows = src.withColumn("h", F.xxhash64("text")).join(ids, ["doc_id", "lang", "h"]).select("lang", "h", "doc_id", cut.alias("text")).dropDuplicates(["lang", "h"]).collect()
-    names = sorted({r.lang for r in rows})
+    names = sorted({lang for _, lang, _ in picked})
     budget = min(sample_chars, max(1024, TABLE_CHARS // len(names)))
+    # of a training text a window at a place that its hash says, so that all parts of texts are learnt from alike
+    wide = F.lit(4 * budget)
+    at = 1 + F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.length("text") - wide + 1)).cast("int")
+    rows = src.withColumn("h", F.xxhash64("text")).join(ids, ["doc_id", "lang", "h"]).select("lang", "h", "doc_id", F.substring(F.col("text"), at, wide).alias("text")).dropDuplicates(["lang", "h"]).collect()
     samples = []
     for name in names:
         texts = [normalise(r.text) for r in sorted((r for r in rows if r.lang == name), key=lambda r: (r.h, r.doc_id))]
-        each = max(256, budget // max(1, min(len(texts), 24)))  # no single text fills the sample
-        text = " ".join(t[:each] for t in texts)[:budget]
+        text = " ".join(_shares(texts, budget))[:budget]
         if text.strip():
             samples.append((name, text))
     return LanguageModel(tuple(samples))
@@ -203,7 +211,7 @@ def predict(documents: DataFrame, model: LanguageModel, text: str = "text", key:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["key", "lang_pred", "score"])
 
     src = documents.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return map_text(src, "text", run, "key long, lang_pred string, score double").withColumnRenamed("key", key)
+    return map_text(src, "text", run, "key long, lang_pred string, score double", keeps=True).withColumnRenamed("key", key)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

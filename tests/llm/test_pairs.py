@@ -205,3 +205,41 @@ def test_query_drops_short_repeats(spark, tmp_path):
 def test_bands_miss_few_pairs():
     """At the threshold fewer than 6 pairs of 1,000 may meet in no band."""
     assert (1 - line_dedup.THRESHOLD**line_dedup.ROWS) ** line_dedup.BANDS < 0.006
+
+
+def twisted(n, a, b):
+    """A word in which sums of powers modulo 2**64 vanish against the same with its letters exchanged."""
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_long_twisted_words(spark):
+    rows = [(1, twisted(1024, "a", "b")), (2, twisted(1024, "b", "a"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert shown(ngram_join.link(df)) == [(1, 1, 1), (2, 1, 2)]
+    words = [twisted(64, "a", "b"), twisted(64, "b", "a"), "short", "x" * 33, "x" * 34]
+    import pyarrow as pa
+
+    assert len({int(s[0]) for s in ngram_join.shingle_sets(pa.array(words))}) == len(words)
+    lines = line_dedup.Lines(pa.array(["\n".join(words)]), True)
+    assert len(set(zip(lines.key.tolist(), lines.check.tolist(), strict=True))) == len(words)
+
+
+def test_sets_that_share_a_key():
+    import numpy as np
+
+    a, b = np.array([3, 9], np.uint64), np.array([4, 9], np.uint64)
+    clashing = frozenset({ngram_join.first_key(a)})
+    assert ngram_join.set_key(a, clashing) == ngram_join.second_key(a) != ngram_join.first_key(a)
+    assert ngram_join.set_key(b, clashing) == ngram_join.first_key(b)
+
+
+def test_sketches_by_blocks():
+    """Many short lines: sizes and parities as from the sets."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(8, 40))) + "." for _ in range(450)]
+    lines = line_dedup.Lines(pa.array(["\n".join(texts)]), True).shingled()
+    sizes, words = lines.sketches()
+    assert sizes.tolist() == [len({lines.text(i)[j : j + 8] for j in range(len(lines.text(i)) - 7)}) for i in range(len(lines.key))]
+    assert words.shape == (len(lines.key), line_dedup.SKETCH // 64)

@@ -66,11 +66,12 @@ def test_bpe_rows(reference, odd, none):
 
 
 def test_packing_ids():
-    ids = packing.loaded(packing.default_vocabulary())
+    from tokenizers import Tokenizer
+
+    ids, fresh = packing.Ids(packing.default_vocabulary()), Tokenizer.from_file(packing.default_vocabulary())
     rng = random.Random(2)
-    for _ in range(400):
-        t = "".join(rng.choice(ALPHABET) for _ in range(rng.randrange(60)))
-        assert ids(t).tolist() == ids.slow.encode(t, add_special_tokens=False).ids
+    for t in ["a<|endoftext|>b", *("".join(rng.choice(ALPHABET) for _ in range(rng.randrange(60))) for _ in range(400))]:
+        assert ids(t).tolist() == fresh.encode(t, add_special_tokens=False).ids
 
 
 @settings(max_examples=40, deadline=None)
@@ -275,3 +276,14 @@ def test_bpe_of_a_text_uses_the_tree(monkeypatch):
     words = [" unfathomably", " Quzzlement", "naïvetés", " 漢字漢字"]
     assert [list(tree.piece(w)) for w in words] == [tree.merge(w.encode()) for w in words]
     assert len(joined) >= len(words)
+
+
+def test_bpe_keeps_to_its_pattern():
+    path, _ = bpe.default_vocabulary()
+    assert bpe.TreeBPE(path, r".").words("abc d") == ["a", "b", "c", " ", "d"]
+    assert bpe.TreeBPE(path, r"(a)b").words("abab") == ["ab", "ab"]
+
+
+def test_language_sample_shares():
+    got = language._shares(["abc", "x" * 500, "y" * 90, ""], 120)
+    assert got[0] == "abc" and sum(map(len, got)) <= 120 and min(len(got[1]), len(got[2])) > 40
