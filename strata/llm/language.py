@@ -7,7 +7,10 @@ that needs the fewest bits wins (ties: the first by name).
 
 The automata are unrolled into transition tables in which a failed match leads on from the root and carries a mark,
 so that parsing is one table look-up a character and all blocks of a batch step together in numpy.  Documents are
-parsed whole, in blocks of ``BLOCK`` characters that each start a phrase.
+parsed whole, in blocks of ``BLOCK`` characters. The state at a block's start is guessed by parsing the ``WARM``
+characters before it; where the block before ends in another state, the block is parsed again from that one, so the
+phrases are those of one parse from the text's start.  Every letter of the samples is a symbol of its own; the commonest
+have a column of the tables (``COLUMNS``, a matter of layout alone), the others are found by binary search.
 
 Learning is from at most ``SAMPLE_TEXTS`` different texts of a language, those with the smallest hashes in
 ``BUCKETS`` buckets, and at most
@@ -35,9 +38,11 @@ SAMPLE_TEXTS = 96
 BUCKETS = 32
 SAMPLE_CHARS = 1 << 15
 TABLE_CHARS = 1 << 18
-CLASSES = 96
+COLUMNS = 98
 BLOCK = 512
+WARM = 64
 _MARK = 1 << 30
+_UNKNOWN = 1
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -82,7 +87,11 @@ class LanguageModel:
 
 
 class _Parser:
-    """The automata of a model as tables, built once in each worker."""
+    """The automata of a model as tables, built once in each worker.
+
+    A symbol is 0 for white space, 1 for a letter of no sample, else the rank of a letter by its frequency. Symbols below
+    ``width`` have a column in the tables; the others are looked up in a sorted list of (state, symbol).
+    """
 
     def __init__(self, model: LanguageModel) -> None:
         count: dict[str, int] = {}
@@ -90,30 +99,64 @@ class _Parser:
             for c in text:
                 count[c] = count.get(c, 0) + 1
         count.pop(" ", None)
-        chars = sorted(count, key=lambda c: (-count[c], c))[:CLASSES]
+        chars = sorted(count, key=lambda c: (-count[c], c))
         self.names = [name for name, _ in model.samples]
-        self.unknown, self.pad = len(chars) + 1, len(chars) + 2
-        self.width = len(chars) + 3
+        self.total = len(chars) + 2
+        self.width = min(self.total, COLUMNS)
         letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        self.lookup = np.where(letters, self.unknown, 0).astype(np.uint8)
-        self.lookup[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
-        self.tables, self.bits = [], []
+        self.lookup = np.where(letters, _UNKNOWN, 0).astype(np.min_scalar_type(self.total))
+        self.lookup[[ord(c) for c in chars]] = np.arange(2, self.total)
+        self.tables, self.sparse, self.bits = [], [], []
         for _, text in model.samples:
             symbols = self.lookup[np.frombuffer(text.encode("utf-32-le"), np.uint32)].tolist()
-            symbols = [x for x in symbols if x != self.unknown]
             move = suffix_automaton(symbols)
-            root = np.full(self.width, _MARK, np.int64)
+            root = np.full(self.total, _MARK, np.int32)
             for c, target in move[0].items():
                 root[c] = target * self.width | _MARK
-            t = np.tile(root, (len(move), 1))
-            for state, targets in enumerate(move):
+            t = np.tile(root[: self.width], (len(move), 1))  # from the root every symbol begins a phrase
+            rare = []
+            for state, targets in enumerate(move[1:], 1):
                 for c, target in targets.items():
-                    t[state, c] = target * self.width
-            t[0] = root  # from the root every symbol begins a phrase
-            t[:, self.pad] = np.arange(len(move)) * self.width
-            self.tables.append(t.astype(np.int32).ravel())
+                    if c < self.width:
+                        t[state, c] = target * self.width
+                    else:
+                        rare.append((state * self.width * self.total + c, target * self.width))
+            rare.sort()
+            self.tables.append(t.ravel())
+            self.sparse.append((root, np.array([k for k, _ in rare], np.int64), np.array([v for _, v in rare], np.int32)))
             self.bits.append(math.log2(max(2, len(symbols))))
 
+    def _rare(self, k: int, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The moves by symbols that have no column."""
+        root, keys, targets = self.sparse[k]
+        out = root[symbol]
+        if len(keys):
+            sought = state.astype(np.int64) * self.total + symbol
+            place = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+            out = np.where(keys[place] == sought, targets[place], out)
+        return out
+
+    def _walk(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, before: np.ndarray, which: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases begun in each block, state after it) for the languages ``which``; ``before``: the states at its start."""
+        order = np.argsort(-size, kind="stable")
+        at, left = start[order], -size[order]
+        state = before[:, order]
+        marks = np.zeros_like(state)
+        for step in range(int(-left[0]) if len(left) else 0):
+            n = int(np.searchsorted(left, -step))  # blocks that are longer
+            row = symbols[at[:n] + step]
+            rare = np.flatnonzero(row >= self.width) if self.total > self.width else row[:0]
+            column = np.where(row < self.width, row, _UNKNOWN) if len(rare) else row
+            for i, k in enumerate(which):
+                got = self.tables[k][state[i, :n] + column]
+                if len(rare):
+                    got[rare] = self._rare(k, state[i, rare], row[rare])
+                marks[i, :n] += got >> 30
+                state[i, :n] = got & (_MARK - 1)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return marks[:, back], state[:, back]
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(letters of each text, phrases of each text by language)."""
         lows = [t.lower() for t in texts]
@@ -126,26 +169,23 @@ class _Parser:
         symbols, doc = symbols[~same], doc[~same]
         sizes = np.bincount(doc, minlength=len(texts))
         blocks = -(-sizes // BLOCK)
-        first = np.concatenate(([0], np.cumsum(blocks)))
-        start = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        place = np.arange(len(symbols)) - start[doc]
-        lanes = int(first[-1])
-        grid = np.full((BLOCK, lanes), self.pad, np.uint8)
-        grid[place % BLOCK, first[doc] + place // BLOCK] = symbols
         owner = np.repeat(np.arange(len(texts)), blocks)
-        steps = int(min(BLOCK, sizes.max(initial=0)))
-        out = np.zeros((len(self.names), len(texts)))
-        state = np.zeros((len(self.names), lanes), np.int32)
-        marks = np.zeros((len(self.names), lanes), np.int32)
-        for step in range(steps):
-            row = grid[step]
-            for k, t in enumerate(self.tables):
-                got = t[state[k] + row]
-                marks[k] += got >> 30
-                state[k] = got & (_MARK - 1)
-        for k in range(len(self.names)):
-            out[k] = np.bincount(owner, weights=marks[k], minlength=len(texts))
-        return letters, out
+        number = np.arange(len(owner)) - (np.cumsum(blocks) - blocks)[owner]
+        start = (np.cumsum(sizes) - sizes)[owner] + number * BLOCK
+        size = np.minimum(BLOCK, sizes[owner] - number * BLOCK)
+        langs = list(range(len(self.names)))
+        later = np.flatnonzero(number)
+        before = np.zeros((len(langs), len(owner)), np.int32)
+        _, before[:, later] = self._walk(symbols, start[later] - WARM, np.full(len(later), WARM), before[:, later], langs)
+        marks, after = self._walk(symbols, start, size, before, langs)
+        for k in langs:
+            while len(wrong := later[after[k, later - 1] != before[k, later]]):
+                # the first wrong block of each text, as all before it are right
+                wrong = wrong[np.concatenate(([True], owner[wrong[1:]] != owner[wrong[:-1]]))]
+                before[k, wrong] = after[k, wrong - 1]
+                got, end = self._walk(symbols, start[wrong], size[wrong], before[k : k + 1, wrong], [k])
+                marks[k, wrong], after[k, wrong] = got[0], end[0]
+        return letters, np.stack([np.bincount(owner, weights=marks[k], minlength=len(texts)) for k in langs])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         letters, phrases = self.phrases([t or "" for t in texts])

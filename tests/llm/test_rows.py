@@ -195,22 +195,42 @@ def test_language(documents, odd, none):
     assert language.fit(none).samples == () and language.predict(odd, language.fit(none)).where("lang_pred <> 'und'").count() == 0
 
 
+def brute_phrases(text, sample):
+    count = at = 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in sample:
+            n += 1
+        count, at = count + 1, at + n
+    return count
+
+
 def test_cross_parsing():
     samples = (("x", "abracadabra abracad"), ("y", "hocus pocus focus"))
     parser = language._Parser(language.LanguageModel(samples))
-
-    def brute(text, sample):
-        count = at = 0
-        while at < len(text):
-            n = 1
-            while at + n < len(text) and text[at : at + n + 1] in sample:
-                n += 1
-            count, at = count + 1, at + n
-        return count
-
     for t in ("abrahocus", "cadabra", "pocus abra", "zzz abra", "focuspocus cad"):
         _, got = parser.phrases([t])
-        assert got[:, 0].tolist() == [brute(t, s) for _, s in samples]
+        assert got[:, 0].tolist() == [brute_phrases(t, s) for _, s in samples]
+
+
+def test_cross_parsing_of_long_texts_is_one_parse():
+    rng = random.Random(5)
+    samples = tuple((n, "".join(rng.choice(a) for _ in range(900)).strip()) for n, a in (("x", "abc "), ("y", "abd "), ("z", "aab")))
+    parser = language._Parser(language.LanguageModel(samples))
+    texts = ["".join(rng.choice("abcd") for _ in range(n)) for n in (0, 1, 511, 512, 513, 4000, 9001)] + ["a" * 5000, "ab" * 2600, "aabq" * 700]
+    _, got = parser.phrases(texts)
+    assert got.T.tolist() == [[brute_phrases(t, s) for _, s in samples] for t in texts]
+
+
+def test_cross_parsing_of_many_letters():
+    rng = random.Random(6)
+    han = [chr(0x4E00 + i) for i in range(1500)]
+    samples = tuple((n, "".join(rng.choice(a) for _ in range(3000))) for n, a in (("l", "abcdefgh"), ("p", han[:900]), ("q", han[600:])))
+    parser = language._Parser(language.LanguageModel(samples))
+    texts = ["".join(rng.choice(han) for _ in range(700)), samples[1][1][100:2000], samples[2][1][5:900] + "abc" + samples[1][1][:40], "abcÿ" * 300]
+    _, got = parser.phrases(texts)
+    assert got.T.tolist() == [[brute_phrases(t, s) for _, s in samples] for t in texts]
+    assert parser.predict([samples[1][1][50:350], samples[2][1][50:350]])[0] == ["p", "q"]
 
 
 def brute_segments(scores):
