@@ -134,29 +134,16 @@ def _(s, d):
     return maintenance.flush_stats(maintenance.with_run(_log(s, d), ROWS_PER_RUN))
 
 
-@query("merge_runs", f"select user_key, seq, cast(vtype as bigint) as vtype, cast(row_number() over (partition by user_key order by seq desc, vtype) as bigint) as version_rank from {_RUNS} where run_id < 4")
-def _(s, d):
-    runs = maintenance.with_run(_log(s, d), ROWS_PER_RUN)
-    merged = maintenance.merge_runs(*(runs.where(F.col("run_id") == i) for i in range(4)))
-    return merged.select("user_key", "seq", F.col("vtype").cast("long").alias("vtype"), F.col("version_rank").cast("long").alias("version_rank"))
-
-
-@query("compact_l0_keep", f"select user_key, seq, cast(vtype as bigint) as vtype, value from {_newest(f'(select * from {_RUNS} where run_id < 4)')}")
-def _(s, d):
-    runs = maintenance.with_run(_log(s, d), ROWS_PER_RUN).where("run_id < 4")
-    return maintenance.compact(runs, drop_tombstones=False).select("user_key", "seq", F.col("vtype").cast("long").alias("vtype"), "value")
-
-
 _GROUPS = f"(select *, row_number() over (partition by run_id // 4, user_key order by seq desc, vtype) as version_rank from {_RUNS})"
 
 
-@query("merge_run_groups", f"select run_id // 4 as run_group, user_key, seq, cast(vtype as bigint) as vtype, cast(version_rank as bigint) as version_rank from {_GROUPS}")
+@query("merge_runs", f"select run_id // 4 as run_group, user_key, seq, cast(vtype as bigint) as vtype, cast(version_rank as bigint) as version_rank from {_GROUPS}")
 def _(s, d):
     merged = maintenance.merge_groups(maintenance.with_run(_log(s, d), ROWS_PER_RUN), 4)
     return merged.select("run_group", "user_key", "seq", F.col("vtype").cast("long").alias("vtype"), F.col("version_rank").cast("long").alias("version_rank"))
 
 
-@query("compact_l0_groups", f"select run_id // 4 as run_group, user_key, seq, cast(vtype as bigint) as vtype, value from {_GROUPS} where version_rank = 1")
+@query("compact_l0_keep", f"select run_id // 4 as run_group, user_key, seq, cast(vtype as bigint) as vtype, value from {_GROUPS} where version_rank = 1")
 def _(s, d):
     kept = maintenance.compact_groups(maintenance.with_run(_log(s, d), ROWS_PER_RUN), 4)
     return kept.select("run_group", "user_key", "seq", F.col("vtype").cast("long").alias("vtype"), "value")
@@ -223,12 +210,7 @@ def _internal_keys(log):
     return log.select(packed.alias("packed")).select(key.alias("user_key"), seq.alias("seq"), vtype.alias("vtype"), F.hex("packed").alias("internal_key"))
 
 
-@query("internal_key_codec", "select user_key, seq, cast(vtype as bigint) as vtype, hex(encode(user_key)) || (select string_agg(lpad(hex((((seq << 8) | vtype) >> (8 * i)) & 255), 2, '0'), '' order by i) from range(8) t(i)) as internal_key from log where seq <= 2000")
-def _(s, d):
-    return _internal_keys(_log(s, d).where("seq <= 2000"))  # as far as its SQL goes
-
-
-@query("internal_key_codec_log")
+@query("internal_key_codec", "select user_key, seq, cast(vtype as bigint) as vtype, hex(encode(user_key)) || (select string_agg(lpad(hex((((seq << 8) | vtype) >> (8 * i)) & 255), 2, '0'), '' order by i) from range(8) t(i)) as internal_key from log")
 def _(s, d):
     return _internal_keys(_log(s, d))
 
@@ -263,7 +245,7 @@ def _(s, d):
 def _(s, d):
     live = reads.latest_live(_log(s, d)).select("user_key")
     per_key, hashes = hashing.integer_filter(0.01)
-    bits = 1 << 16  # over per_key bits for each of the view's keys
+    bits = max(64, per_key * live.count())
     built = hashing.build_filter(live, "user_key", bits, hashes)
     absent = live.select(F.concat(F.lit("absent-"), "user_key").alias("user_key"))
     probes = live.withColumn("present", F.lit(True)).unionByName(absent.withColumn("present", F.lit(False)))
