@@ -135,6 +135,41 @@ def test_fingerprints(documents, texts):
     assert np.mean([r.near_edited > r.near_next for r in long]) > 0.97
 
 
+def plain_fingerprint(text):
+    """128 minima of the phrases' hashes, each times an odd factor modulo 2**64, 16 bits of each; in plain integers."""
+    import xxhash
+
+    symbols = [w[i : i + 12] for w in text.split() for i in range(0, len(w), 12)]
+    known, at = set(), 0
+    while at < len(symbols):
+        n = 1
+        while at + n <= len(symbols) and tuple(symbols[at : at + n]) in known:
+            n += 1
+        if at + n <= len(symbols):
+            known.add(tuple(symbols[at : at + n]))
+        at += n
+    hashes = [xxhash.xxh3_64_intdigest(" ".join(x)) for x in known]
+    factors = [int(f) for f in lz_fingerprint._FACTORS]
+    return [min((h * f & (1 << 64) - 1 for h in hashes), default=(1 << 64) - 1) >> 8 & 0xFFFF for f in factors]
+
+
+def test_fingerprints_by_plain_integers(documents, texts):
+    out = lz_fingerprint.neighbours(documents).collect()
+    order = sorted(texts, reverse=True)
+    following = {d: texts[order[(i + 1) % len(order)]] for i, d in enumerate(order)}
+    plain = {}
+    for r in out:
+        t, n = texts[r.doc_id], following[r.doc_id]
+        third = len(t) // 3
+        e = t[: len(t) - third] + n[:third]
+        for x in (t, n, e):
+            if x not in plain:
+                plain[x] = plain_fingerprint(x)
+        assert r.fingerprint == "".join(f"{v:04x}" for v in plain[t]) and r.edited_fingerprint == "".join(f"{v:04x}" for v in plain[e])
+        assert r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
+        assert (r.near_edited, r.near_next) == tuple(sum(a == b for a, b in zip(plain[t], plain[x], strict=True)) / 128 for x in (e, n))
+
+
 def test_fingerprints_odd(spark, odd, none):
     out = lz_fingerprint.neighbours(odd).collect()
     assert len(out) == odd.count()
@@ -161,6 +196,23 @@ def test_media(documents, odd, none, spark, tmp_path):
         assert len(digests) == len(set(digests))
 
 
+def test_media_payloads_by_definition(odd, documents, spark, tmp_path):
+    for name, df in (("o", odd), ("d", documents)):
+        path = str(tmp_path / name)
+        media.store(df, path)
+        want = Counter()
+        for r in df.select("doc_id", "text").collect():
+            raw = (r.text or "").encode()
+            padded = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+            want[r.doc_id, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:])] += 1
+        got = media.load(spark, path).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
+        alike = defaultdict(set)
+        for r in got:
+            alike[r.payload_sha256].add((r.media_bytes, r.media_sha256, r.feature))
+        assert all(len(x) == 1 for x in alike.values())
+
+
 def test_media_chunks():
     rng = random.Random(4)
     data = rng.randbytes(50000)
