@@ -78,8 +78,17 @@ def count_live(log: DataFrame, snapshot: int | None = None) -> DataFrame:
     return latest_live(log, snapshot).agg(F.count("*").alias("n_live"))
 
 
+#: Buckets of keys that a range delete numbers apart.
+NUMBER_BUCKETS = 1024
+
+
 def range_delete(log: DataFrame, start: str, end: str, snapshot: int) -> DataFrame:
     """Tombstones for the live keys of a range, one sequence number each after ``snapshot`` (an extension)."""
-    gone = range_scan(log, start, end, snapshot)
-    number = F.row_number().over(Window.orderBy("user_key"))  # the keys of one range delete
+    gone = range_scan(log, start, end, snapshot).select("user_key", F.pmod(F.xxhash64("user_key"), F.lit(NUMBER_BUCKETS)).alias("_bucket"))
+    # numbered within buckets of keys, so that no task sees them all; one row a bucket tells how many come before
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = gone.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    bases = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    number = F.col("_base") + F.row_number().over(Window.partitionBy("_bucket").orderBy("user_key"))
+    gone = gone.join(F.broadcast(bases), "_bucket")  # NUMBER_BUCKETS rows at most
     return gone.select("user_key", (F.lit(snapshot) + number).cast("long").alias("seq"), F.lit(TOMBSTONE).alias("vtype"), F.lit("").alias("value"))

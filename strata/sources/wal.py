@@ -198,6 +198,6 @@ def recovered(ops: DataFrame, first: int = 1) -> DataFrame:
     counts = ops.groupBy("file_no", "batch_no").agg(F.count("*").alias("n"))
     files = counts.groupBy("file_no").agg(F.sum("n").alias("n")).withColumn("before_file", F.coalesce(F.sum("n").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("file_no").orderBy("batch_no").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("before_batch", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(files.select("file_no", "before_file")), "file_no")
+    starts = counts.withColumn("before_batch", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(files.select("file_no", "before_file"), "file_no")
     out = ops.join(starts.select("file_no", "batch_no", (F.col("before_file") + F.col("before_batch")).alias("base")), ["file_no", "batch_no"])
     return out.select("user_key", (F.col("base") + F.col("pos") + first).cast("long").alias("seq"), "vtype", "value")
